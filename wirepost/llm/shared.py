@@ -62,12 +62,16 @@ def fresh(df: DataFrame, *names: str) -> list[str]:
     return out
 
 
-def keyed(docs: DataFrame) -> DataFrame:
-    """(dk, text): ids with null as NULL_ID, texts with null as empty."""
-    return docs.select(
-        F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("dk"),
-        F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"),
-    )
+def text_hash(text: Column) -> Column:
+    """Tells rows that share an id apart; equal rows stay equal."""
+    return F.xxhash64(text)
+
+
+def keyed(docs: DataFrame, hashed: bool = False) -> DataFrame:
+    """(dk, text) or (dk, th, text): ids with null as NULL_ID, texts with null as empty."""
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    dk = F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("dk")
+    return docs.select(dk, *[text_hash(text).alias("th")] * hashed, text.alias("text"))
 
 
 def doc_id(dk: str = "dk") -> Column:
