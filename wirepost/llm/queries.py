@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, licenses, simhash, topk
+from . import bpe, decontaminate, licenses, lines, simhash, topk
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -24,10 +24,19 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"), vocabulary())
 
 
+def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "item_id", "first_word", "similarity")
+
+
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op6_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.line_digests(table(spark, sf_dir, "documents"))
+
+
 def op7_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan_licenses(table(spark, sf_dir, "documents")).drop("spans")
 
@@ -39,12 +48,29 @@ def op9_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
+    "op2_decontaminate": op2_decontaminate,
     "op5_simhash": op5_simhash,
+    "op6_lines": op6_lines,
     "op7_licenses": op7_licenses,
     "op9_topk": op9_topk,
 }
 
 ORACLES: dict[str, str] = {
+    "op6_lines": """
+        WITH d AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
+        l AS (SELECT doc_id, unnest(ls) AS line, unnest(range(len(ls))) AS pos FROM d),
+        w AS (
+            SELECT doc_id, pos, line || chr(10) || lead(line) OVER o || chr(10) || lead(line, 2) OVER o AS w
+            FROM l WINDOW o AS (PARTITION BY doc_id ORDER BY pos)),
+        later AS (
+            SELECT doc_id, pos
+            FROM (SELECT doc_id, pos, row_number() OVER (PARTITION BY w ORDER BY doc_id, pos) AS n FROM w WHERE w IS NOT NULL)
+            WHERE n > 1),
+        covered AS (SELECT DISTINCT doc_id, pos + unnest([0, 1, 2]) AS pos FROM later)
+        SELECT l.doc_id, count(*) AS n_lines, count(c.pos) AS n_removed,
+               sha256(coalesce(string_agg(line, chr(10) ORDER BY l.pos) FILTER (WHERE c.pos IS NULL), '')) AS kept_sha256
+        FROM l LEFT JOIN covered c ON l.doc_id = c.doc_id AND l.pos = c.pos
+        GROUP BY l.doc_id""",
     "op9_topk": """
         WITH v AS (
             SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS q
