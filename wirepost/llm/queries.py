@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, licenses, lines, simhash, topk
+from . import bpe, decontaminate, licenses, lines, quality, simhash, topk
+from .shared import doc_id
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -41,6 +42,11 @@ def op7_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan_licenses(table(spark, sf_dir, "documents")).drop("spans")
 
 
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    drawn = quality.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return drawn.select(doc_id(), F.col("weight").alias("log_weight"), F.col("key").alias("gumbel_key"))
+
+
 def op9_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = topk.quantized(table(spark, sf_dir, "embeddings"))
     return topk.top_k(vectors, vectors.where(F.col("vec_id") % 50 == 0))
@@ -52,6 +58,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_simhash": op5_simhash,
     "op6_lines": op6_lines,
     "op7_licenses": op7_licenses,
+    "op8_quality": op8_quality,
     "op9_topk": op9_topk,
 }
 
