@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, licenses, lines, quality, simhash, substrings, suffixes, topk
+from . import bpe, decontaminate, licenses, lines, quality, simhash, substrings, suffixes, topk, warc
 from .shared import doc_id
 
 
@@ -30,6 +30,10 @@ def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "item_id", "first_word", "similarity")
 
 
+def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archive(table(spark, sf_dir, "pages"))
+
+
 def op4_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffixes.suffix_digests(table(spark, sf_dir, "documents"))
 
@@ -63,6 +67,7 @@ def op10_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
     "op2_decontaminate": op2_decontaminate,
+    "op3_warc": op3_warc,
     "op4_suffixes": op4_suffixes,
     "op5_simhash": op5_simhash,
     "op6_lines": op6_lines,

@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .repeats import by_doc, columns_of, covered, hashed_texts, int_lists, one_a_batch, packed_texts, scattered, together, unpack, with_marks
+from .repeats import by_doc, columns_of, covered, hashed_texts, int_lists, once_each, one_a_batch, packed_texts, scattered, small_batches, together, unpack, with_marks
 from .shared import blocks, byte_values, doc_id, mix, window_hashes
 
 #: Fixed value: factor of the k-grams' polynomial hash.
@@ -107,18 +107,6 @@ def repeated_keys(docs: DataFrame, length: int) -> DataFrame:
     return together(counted.where("n = 0 or all > 1").select("dk", F.coalesce("more", F.array("pos")).alias("at")), "at")
 
 
-def once_each(batch: pa.RecordBatch) -> pa.RecordBatch:
-    """A batch without rows that repeat both id and text hash."""
-    _, first = np.unique(np.rec.fromarrays([batch.column("dk").to_numpy(), batch.column("th").to_numpy()]), return_index=True)
-    return batch if len(first) == batch.num_rows else batch.take(pa.array(np.sort(first)))
-
-
-def small_batches(batches: Iterator[pa.RecordBatch], rows: int = 4000) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for at in range(0, batch.num_rows, rows):
-            yield batch.slice(at, rows)
-
-
 def units(candidates: DataFrame, length: int) -> DataFrame:
     """(part, key, dk, th, pos, size, more): units with a repeated key, part a hash of their bytes; of identical ones in a batch the first, the others in rows with size 0."""
 
