@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -106,3 +106,29 @@ OFFERS_SQL = f"""
                  CASE l_linenumber % 3 WHEN 0 THEN [{SUITE_A}, {SUITE_B}] WHEN 1 THEN [{SUITE_B}, {SUITE_A}] ELSE [{SUITE_B}] END AS offered,
                  CASE WHEN CAST(l_quantity AS INTEGER) % 2 = 1 THEN [{0x0303}, {0x0304}] ELSE [{0x0303}] END AS versions
           FROM lineitem WHERE NOT (l_suppkey % 3 = 2 AND l_linenumber % 3 = 2))"""
+
+
+def segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """conversations as TCP segments with faults: some turns are lost, some sent twice, some of those with their first byte changed."""
+    turns = table(spark, sf_dir, "conversations")
+    rows = turns.select("conv_id", "turn", F.when(F.col("role") == "user", "c2s").otherwise("s2c").alias("dir"), F.hex(F.encode(F.coalesce("text", F.lit("")), "UTF-8")).alias("hex"))
+    order = Window.partitionBy("conv_id", "dir").orderBy("turn", "hex")
+    size = (F.length("hex") / 2).cast("long")
+    fault = F.col("conv_id") * 7 + F.col("turn") * 3
+    sent = rows.withColumns({"seq": F.sum(size).over(order) - size, "fault": fault}).where("fault % 11 <> 0")
+    frame = F.col("conv_id") * 1_000_000 + F.col("turn") * 2
+    once = sent.select(F.col("conv_id").alias("flow"), "dir", "seq", frame.alias("frame"), "hex")
+    changed = F.when(F.col("fault") % 10 == 0, F.concat(F.lit("23"), F.expr("substring(hex, 3)"))).otherwise(F.col("hex"))
+    again = sent.where("fault % 5 = 0").select(F.col("conv_id").alias("flow"), "dir", "seq", (frame + 1).alias("frame"), changed.alias("hex"))
+    return once.unionByName(again)
+
+
+SEGMENTS_SQL = """
+    SELECT * EXCLUDE (fault) FROM (
+        SELECT conv_id AS flow, dir, seq, conv_id * 1000000 + turn * 2 AS frame, hex, fault FROM sent
+        UNION ALL
+        SELECT conv_id, dir, seq, conv_id * 1000000 + turn * 2 + 1, CASE WHEN fault % 10 = 0 THEN '23' || substr(hex, 3) ELSE hex END, fault FROM sent WHERE fault % 5 = 0)"""
+SENT_SQL = """
+    raw AS (SELECT conv_id, turn, CASE WHEN role = 'user' THEN 'c2s' ELSE 's2c' END AS dir, hex(encode(coalesce(text, ''))) AS hex FROM conversations),
+    summed AS (SELECT *, CAST(sum(length(hex) // 2) OVER (PARTITION BY conv_id, dir ORDER BY turn, hex ROWS UNBOUNDED PRECEDING) - length(hex) // 2 AS BIGINT) AS seq, conv_id * 7 + turn * 3 AS fault FROM raw),
+    sent AS (SELECT * FROM summed WHERE fault % 11 <> 0)"""
