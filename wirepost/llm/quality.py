@@ -121,7 +121,7 @@ def top_share(keys: DataFrame, k: int) -> tuple[int, int, int]:
     bounds = []
     for column, sign in (("key", ""), ("dk", "-"), ("th", "-")):
         value = f"(CAST({sign or '+'}CAST({column} AS DECIMAL(20,0)) AS DECIMAL(20,0)))"
-        lo, hi = -(2**63), 2**63  # the largest values count first
+        lo, hi = -(2**63), 2**63 + 1  # the largest values count first
         while hi - lo > 1:
             step = -(-(hi - lo) // 4096)
             inside = keys.where(f"{value} >= {lo}BD AND {value} < {hi}BD")

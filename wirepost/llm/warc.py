@@ -142,7 +142,8 @@ def read_records(spark, path: str) -> DataFrame:
                 for f, block in parse(batch.column("content")[i].as_py()):
                     total = f.get("warc-segment-total-length")
                     rows.append((f.get("warc-segment-origin-id", f["warc-record-id"]), int(f.get("warc-segment-number", 0)), total and int(total), f["warc-type"], f.get("warc-refers-to"), f.get("warc-payload-digest"), block))
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
+                if rows:  # a writer that got no page leaves an empty archive
+                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
 
     return spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("content").mapInArrow(mapped, PARTS)
 
