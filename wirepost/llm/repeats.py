@@ -16,7 +16,7 @@ from .shared import NULL_ID, mix
 
 
 def packed_texts(docs: DataFrame) -> DataFrame:
-    """(dk, th, blob): each text in UTF-8, compressed before it is shuffled; th is a 32-bit hash of it.
+    """(dk, th, blob): each text in UTF-8, compressed before it is shuffled; th is a 32-bit hash of it, or 0 if no id repeats.
 
     Columns are declared not null, so that every join on dk reads one and the same shuffle of this table.
     """
@@ -28,13 +28,20 @@ def packed_texts(docs: DataFrame) -> DataFrame:
             blobs = [pack(x) for x in batch.column("text").cast(pa.binary()).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("dk"), batch.column("th"), pa.array(blobs, pa.binary())], ["dk", "th", "blob"])
 
-    return hashed_texts(docs).mapInArrow(mapped, schema)
+    return hashed_texts(docs, ids_repeat(docs)).mapInArrow(mapped, schema)
 
 
-def hashed_texts(docs: DataFrame) -> DataFrame:
-    """(dk, th, text) with null ids as NULL_ID and null texts as empty."""
+def hashed_texts(docs: DataFrame, tagged: bool = True) -> DataFrame:
+    """(dk, th, text) with null ids as NULL_ID and null texts as empty; th is 0 if not tagged."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("dk"), F.hash(text).alias("th"), text.alias("text"))
+    th = F.hash(text) if tagged else F.lit(0)
+    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("dk"), th.alias("th"), text.alias("text"))
+
+
+def ids_repeat(docs: DataFrame) -> bool:
+    """Whether two rows share an id. Where none do, rows need no hash of their text to be told apart, which makes every shuffled row shorter."""
+    ids = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("dk"))
+    return not ids.groupBy("dk").agg(F.count("*").alias("n")).where("n > 1").isEmpty()
 
 
 def unpack(blobs: pa.Array) -> Iterator[bytes]:

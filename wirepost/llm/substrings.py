@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .repeats import by_doc, columns_of, covered, hashed_texts, int_lists, once_each, one_a_batch, packed_texts, scattered, small_batches, together, unpack, with_marks
+from .repeats import by_doc, columns_of, covered, hashed_texts, int_lists, once_each, one_a_batch, packed_texts, scattered, together, unpack, with_marks
 from .shared import blocks, byte_values, doc_id, window_hashes, word_hashes
 
 #: Perfect difference sets by their period. Any two places are brought to places of the set by one common shift less than the period.
@@ -72,10 +72,10 @@ def repeated_anchors(docs: DataFrame, window: int, period: int) -> DataFrame:
 
 
 def window_rows(candidates: DataFrame, window: int, period: int) -> DataFrame:
-    """(part, key, n, dk, th, pos, more): windows with a repeated anchor, counted once a batch as in anchors()."""
+    """(part, h2, n, dk, spot, more): windows with a repeated anchor, counted once a batch as in anchors()."""
 
     def mapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in map(once_each, small_batches(batches)):
+        for batch in map(once_each, batches):
             h1, h2, own, places = [], [], [], []
             marks = (np.concatenate([*x[0], np.empty(0, np.int32)]) for x in columns_of(batch.column("marks"), ["at"]))
             for i, (text, at) in enumerate(zip(unpack(batch.column("blob")), marks, strict=True)):
@@ -95,8 +95,8 @@ def window_rows(candidates: DataFrame, window: int, period: int) -> DataFrame:
                     places.append(starts)
             if not own:
                 continue
-            h1, h2, own, places = np.concatenate(h1).view(np.int64), (np.concatenate(h2) >> np.uint64(32)).astype(np.int64), np.concatenate(own), np.concatenate(places)
-            dk, th = batch.column("dk").to_numpy(), batch.column("th").to_numpy()
+            h1, h2, own, places = np.concatenate(h1).view(np.int64), (np.concatenate(h2) >> np.uint64(32)).astype(np.uint32).view(np.int32), np.concatenate(own), np.concatenate(places)
+            dk, tag = batch.column("dk").to_numpy(), batch.column("th").to_numpy().astype(np.int64) & 0xFFFFFFFF
             first, n, rest = one_a_batch(h1, h2, own)
             known = [(d, v[0]) for d, v in by_doc(own[rest], [places[rest]])]
             at = np.array([d for d, _ in known], np.int64)
@@ -104,27 +104,28 @@ def window_rows(candidates: DataFrame, window: int, period: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array(np.concatenate([h1[first], scattered(dk[at])])),
-                    pa.array(np.concatenate([h2[first] << 32 | (th[own[first]].astype(np.int64) & 0xFFFFFFFF), th[at].astype(np.int64) & 0xFFFFFFFF])),
+                    pa.array(np.concatenate([h2[first], none]).astype(np.int32)),
                     pa.array(np.concatenate([n, none]).astype(np.int32)),
                     pa.array(np.concatenate([dk[own[first]], dk[at]])),
-                    pa.array(np.concatenate([places[first], none]).astype(np.int32)),
+                    pa.array(np.concatenate([places[first] << 32, none]) | tag[np.concatenate([own[first], at])]),
                     pa.concat_arrays([pa.nulls(len(first), pa.list_(pa.int32())), int_lists([p for _, p in known])]),
                 ],
-                ["part", "key", "n", "dk", "pos", "more"],
+                ["part", "h2", "n", "dk", "spot", "more"],
             )
 
-    return candidates.mapInArrow(mapped, "part long, key long, n int, dk long, pos int, more array<int>")
+    return candidates.mapInArrow(mapped, "part long, h2 int, n int, dk long, spot long, more array<int>")
 
 
 def repeated_windows(docs: DataFrame, texts: DataFrame, window: int) -> DataFrame:
     """(k, marks): the starts of windows that occur more than once, by document id; th says in which of its texts."""
     period = period_for(window)
     rows = window_rows(with_marks(texts, repeated_anchors(docs, window, period), "inner"), window, period)
-    same = Window.partitionBy("part", F.shiftrightunsigned("key", 32) * F.signum("n").cast("long"))
-    place = F.struct("dk", "key", "pos")  # a row that repeats another's id and text stands in the same places
+    same = Window.partitionBy("part", "h2")
+    place = F.struct("dk", "spot")  # a row that repeats another's id and text stands in the same places
     found = (F.col("n") > 1) | (F.min(place).over(same) < F.max(place).over(same)) | (F.max("n").over(same) > 1)
     counted = rows.withColumn("found", found).where("n = 0 or found")
-    return together(counted.select("dk", F.shiftright(F.shiftleft("key", 32), 32).cast("int").alias("th"), F.coalesce("more", F.array("pos")).alias("at")), "th", "at")
+    th, pos = F.shiftright(F.shiftleft("spot", 32), 32).cast("int"), F.shiftright("spot", 32).cast("int")
+    return together(counted.select("dk", th.alias("th"), F.coalesce("more", F.array(pos)).alias("at")), "th", "at")
 
 
 def substring_digests(docs: DataFrame, window: int = 35) -> DataFrame:

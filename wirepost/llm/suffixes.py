@@ -335,7 +335,8 @@ def later_places(docs: DataFrame, texts: DataFrame, length: int) -> DataFrame:
     same = Window.partitionBy("part", "key")
     every = units(with_marks(texts, repeated_keys(docs, length), "inner"), length).withColumn("first", F.min(place).over(same))
     copies = every.where((F.col("size") == 0) | (place > F.col("first"))).select("dk", "th", F.coalesce("more", F.array("pos", "size")).alias("at"))
-    distinct = every.where((F.col("size") > 0) & (place == F.col("first"))).select("key", "dk", "th", "pos", "size")
+    # more is null wherever size is positive; reading it lets both branches read one shuffle
+    distinct = every.where((F.col("size") > 0) & (place == F.col("first")) & F.col("more").isNull()).select("key", "dk", "th", "pos", "size")
     shared = distinct.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select(F.col("key").alias("key2"), (F.col("c") > MOST_UNITS).alias("crowded"))
     rivals = distinct.join(shared, F.col("key") == F.col("key2"))
     held = with_marks(texts, together(rivals, "th", "key", "pos", "size", "crowded"), "inner")
