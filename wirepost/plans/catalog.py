@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import anomaly, correlation, scoring, sets, streams, text
+from . import anomaly, correlation, scoring, sets, streams, text, verdicts
 
-_PARTS = (scoring, correlation, streams, text, anomaly, sets)
+_PARTS = (scoring, correlation, streams, text, anomaly, sets, verdicts)
 QUERIES = {name: query for part in _PARTS for name, query in part.QUERIES.items()}
 ORACLES = {name: sql for part in _PARTS for name, sql in part.ORACLES.items()}
