@@ -12,15 +12,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import NULL_ID, mix
+from .shared import NULL_ID, mix, text_hash
 
 
-def packed_texts(docs: DataFrame) -> DataFrame:
-    """(dk, th, blob): each text in UTF-8, compressed before it is shuffled; th is a 32-bit hash of it, or 0 if no id repeats.
+def packed_texts(docs: DataFrame, tagged: bool) -> DataFrame:
+    """(dk, th, blob): each text in UTF-8, compressed before it is shuffled; th is a 64-bit hash of it, or 0 if not tagged.
 
-    Columns are declared not null, so that every join on dk reads one and the same shuffle of this table.
+    Columns are declared not null, so that every join on dk and th reads one and the same shuffle of this table.
     """
-    schema = T.StructType([T.StructField("dk", T.LongType(), False), T.StructField("th", T.IntegerType(), False), T.StructField("blob", T.BinaryType(), False)])
+    schema = T.StructType([T.StructField("dk", T.LongType(), False), T.StructField("th", T.LongType(), False), T.StructField("blob", T.BinaryType(), False)])
 
     def mapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pack = zstandard.ZstdCompressor(level=3).compress
@@ -28,13 +28,13 @@ def packed_texts(docs: DataFrame) -> DataFrame:
             blobs = [pack(x) for x in batch.column("text").cast(pa.binary()).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("dk"), batch.column("th"), pa.array(blobs, pa.binary())], ["dk", "th", "blob"])
 
-    return hashed_texts(docs, ids_repeat(docs)).mapInArrow(mapped, schema)
+    return hashed_texts(docs, tagged).mapInArrow(mapped, schema)
 
 
-def hashed_texts(docs: DataFrame, tagged: bool = True) -> DataFrame:
+def hashed_texts(docs: DataFrame, tagged: bool) -> DataFrame:
     """(dk, th, text) with null ids as NULL_ID and null texts as empty; th is 0 if not tagged."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    th = F.hash(text) if tagged else F.lit(0)
+    th = text_hash(text) if tagged else F.lit(0).cast("long")
     return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("dk"), th.alias("th"), text.alias("text"))
 
 
@@ -100,13 +100,26 @@ def covered(starts: np.ndarray, lengths: np.ndarray, size: int, n: int) -> np.nd
     return np.cumsum(edge[:n]) > 0
 
 
-def together(marks: DataFrame, *columns: str) -> DataFrame:
-    """(k, marks): the rows of marks (dk, ...) of one document in a list; its length is bounded by the document's."""
-    return marks.groupBy("dk").agg(F.collect_list(F.struct(*columns)).alias("marks")).select(F.col("dk").alias("k"), "marks")
+def own_columns(tagged: bool) -> list[str]:
+    """What names a text: its id, and the hash of it where ids repeat."""
+    return ["dk", "th"] if tagged else ["dk"]
 
 
-def with_marks(texts: DataFrame, marks: DataFrame, how: str) -> DataFrame:
-    return texts.join(marks, F.col("dk") == F.col("k"), how).select("dk", "th", "blob", "marks")
+def distinct_texts(rows: DataFrame, tagged: bool) -> DataFrame:
+    """Of rows that repeat both id and text one."""
+    return rows.dropDuplicates(["dk", "th"]) if tagged else rows
+
+
+def together(marks: DataFrame, tagged: bool, *columns: str) -> DataFrame:
+    """(k, kth if tagged, marks): the rows of marks (dk, th, ...) of one text in a list; its length is bounded by the text's."""
+    names = own_columns(tagged)
+    lists = marks.groupBy(*names).agg(F.collect_list(F.struct(*columns)).alias("marks"))
+    return lists.select(*(F.col(a).alias(b) for a, b in zip(names, ("k", "kth"))), "marks")
+
+
+def with_marks(texts: DataFrame, marks: DataFrame, tagged: bool, how: str) -> DataFrame:
+    met = F.col("dk") == F.col("k")
+    return texts.join(marks, met & (F.col("th") == F.col("kth")) if tagged else met, how).select("dk", "th", "blob", "marks")
 
 
 def columns_of(lists: pa.Array, names: list[str]) -> Iterator[list[np.ndarray]]:

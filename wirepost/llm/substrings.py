@@ -10,7 +10,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .repeats import by_doc, columns_of, covered, hashed_texts, int_lists, once_each, one_a_batch, packed_texts, scattered, together, unpack, with_marks
+from .repeats import (
+    by_doc, columns_of, covered, distinct_texts, hashed_texts, ids_repeat, int_lists, once_each, one_a_batch, own_columns, packed_texts, scattered, together, unpack, with_marks
+)
 from .shared import blocks, byte_values, doc_id, window_hashes, word_hashes
 
 #: Perfect difference sets by their period. Any two places are brought to places of the set by one common shift less than the period.
@@ -30,8 +32,8 @@ def anchor_places(n: int, window: int, period: int) -> np.ndarray:
     return np.flatnonzero(np.isin(np.arange(max(0, last + 1)) % period, COVERS[period]))
 
 
-def anchors(docs: DataFrame, window: int, period: int) -> DataFrame:
-    """(part, n, dk, pos, more): an anchor's hash, how often the batch has it, its first place; further places go in rows with n = 0."""
+def anchors(docs: DataFrame, window: int, period: int, tagged: bool) -> DataFrame:
+    """(part, n, dk, th if tagged, pos, more): an anchor's hash, how often the batch has it, its first place; further places go in rows with n = 0."""
 
     def mapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in blocks(batches, "text", 32_000_000):
@@ -46,33 +48,36 @@ def anchors(docs: DataFrame, window: int, period: int) -> DataFrame:
             if not keys:
                 continue
             keys, own, places = np.concatenate(keys).view(np.int64), np.concatenate(own), np.concatenate(places)
-            dk = batch.column("dk").to_numpy()
+            dk, th = batch.column("dk").to_numpy(), batch.column("th").to_numpy()
             first, n, rest = one_a_batch(keys, own)
             known = [(d, v[0]) for d, v in by_doc(own[rest], [places[rest]])]
-            docs_of = dk[[d for d, _ in known]] if known else np.empty(0, np.int64)
+            at = np.array([d for d, _ in known], np.int64)
+            docs_of = dk[at]
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array(np.concatenate([keys[first], scattered(docs_of)])),
                     pa.array(np.concatenate([n, np.zeros(len(known), np.int64)]).astype(np.int32)),
                     pa.array(np.concatenate([dk[own[first]], docs_of])),
+                    pa.array(np.concatenate([th[own[first]], th[at]])),
                     pa.array(np.concatenate([places[first], np.zeros(len(known), np.int64)]).astype(np.int32)),
                     pa.concat_arrays([pa.nulls(len(first), pa.list_(pa.int32())), int_lists([p for _, p in known])]),
                 ],
-                ["part", "n", "dk", "pos", "more"],
+                ["part", "n", "dk", "th", "pos", "more"],
             )
 
-    return hashed_texts(docs).mapInArrow(mapped, "part long, n int, dk long, pos int, more array<int>")
+    rows = distinct_texts(hashed_texts(docs, tagged), tagged).mapInArrow(mapped, "part long, n int, dk long, th long, pos int, more array<int>")
+    return rows.select("part", "n", *own_columns(tagged), "pos", "more")
 
 
-def repeated_anchors(docs: DataFrame, window: int, period: int) -> DataFrame:
-    """(k, marks): the places of anchors that occur more than once in docs, by document id."""
-    counted = anchors(docs, window, period).withColumn("all", F.sum("n").over(Window.partitionBy("part")))
-    found = counted.where("n = 0 or all > 1").select("dk", F.coalesce("more", F.array("pos")).alias("at"))
-    return together(found, "at")
+def repeated_anchors(docs: DataFrame, window: int, period: int, tagged: bool) -> DataFrame:
+    """(k, kth if tagged, marks): the places of anchors that occur more than once in docs, by text."""
+    counted = anchors(docs, window, period, tagged).withColumn("all", F.sum("n").over(Window.partitionBy("part")))
+    found = counted.where("n = 0 or all > 1").select(*own_columns(tagged), F.coalesce("more", F.array("pos")).alias("at"))
+    return together(found, tagged, "at")
 
 
-def window_rows(candidates: DataFrame, window: int, period: int) -> DataFrame:
-    """(part, h2, n, dk, spot, more): windows with a repeated anchor, counted once a batch as in anchors()."""
+def window_rows(candidates: DataFrame, window: int, period: int, tagged: bool) -> DataFrame:
+    """(part, h2, n, dk, th if tagged, pos, more): windows with a repeated anchor, counted once a batch as in anchors()."""
 
     def mapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in map(once_each, batches):
@@ -96,7 +101,7 @@ def window_rows(candidates: DataFrame, window: int, period: int) -> DataFrame:
             if not own:
                 continue
             h1, h2, own, places = np.concatenate(h1).view(np.int64), (np.concatenate(h2) >> np.uint64(32)).astype(np.uint32).view(np.int32), np.concatenate(own), np.concatenate(places)
-            dk, tag = batch.column("dk").to_numpy(), batch.column("th").to_numpy().astype(np.int64) & 0xFFFFFFFF
+            dk, th = batch.column("dk").to_numpy(), batch.column("th").to_numpy()
             first, n, rest = one_a_batch(h1, h2, own)
             known = [(d, v[0]) for d, v in by_doc(own[rest], [places[rest]])]
             at = np.array([d for d, _ in known], np.int64)
@@ -107,25 +112,27 @@ def window_rows(candidates: DataFrame, window: int, period: int) -> DataFrame:
                     pa.array(np.concatenate([h2[first], none]).astype(np.int32)),
                     pa.array(np.concatenate([n, none]).astype(np.int32)),
                     pa.array(np.concatenate([dk[own[first]], dk[at]])),
-                    pa.array(np.concatenate([places[first] << 32, none]) | tag[np.concatenate([own[first], at])]),
+                    pa.array(np.concatenate([th[own[first]], th[at]])),
+                    pa.array(np.concatenate([places[first], none]).astype(np.int32)),
                     pa.concat_arrays([pa.nulls(len(first), pa.list_(pa.int32())), int_lists([p for _, p in known])]),
                 ],
-                ["part", "h2", "n", "dk", "spot", "more"],
+                ["part", "h2", "n", "dk", "th", "pos", "more"],
             )
 
-    return candidates.mapInArrow(mapped, "part long, h2 int, n int, dk long, spot long, more array<int>")
+    rows = candidates.mapInArrow(mapped, "part long, h2 int, n int, dk long, th long, pos int, more array<int>")
+    return rows.select("part", "h2", "n", *own_columns(tagged), "pos", "more")
 
 
-def repeated_windows(docs: DataFrame, texts: DataFrame, window: int) -> DataFrame:
-    """(k, marks): the starts of windows that occur more than once, by document id; th says in which of its texts."""
+def repeated_windows(docs: DataFrame, texts: DataFrame, window: int, tagged: bool) -> DataFrame:
+    """(k, kth if tagged, marks): the starts of windows that occur more than once, by text."""
     period = period_for(window)
-    rows = window_rows(with_marks(texts, repeated_anchors(docs, window, period), "inner"), window, period)
+    candidates = with_marks(distinct_texts(texts, tagged), repeated_anchors(docs, window, period, tagged), tagged, "inner")
+    rows = window_rows(candidates, window, period, tagged)
     same = Window.partitionBy("part", "h2")
-    place = F.struct("dk", "spot")  # a row that repeats another's id and text stands in the same places
+    place = F.struct(*own_columns(tagged), "pos")  # a row that repeats another's id and text stands in the same places
     found = (F.col("n") > 1) | (F.min(place).over(same) < F.max(place).over(same)) | (F.max("n").over(same) > 1)
     counted = rows.withColumn("found", found).where("n = 0 or found")
-    th, pos = F.shiftright(F.shiftleft("spot", 32), 32).cast("int"), F.shiftright("spot", 32).cast("int")
-    return together(counted.select("dk", th.alias("th"), F.coalesce("more", F.array(pos)).alias("at")), "th", "at")
+    return together(counted.select(*own_columns(tagged), F.coalesce("more", F.array("pos")).alias("at")), tagged, "at")
 
 
 def substring_digests(docs: DataFrame, window: int = 35) -> DataFrame:
@@ -158,15 +165,16 @@ def remove_repeats(docs: DataFrame, window: int = 35) -> DataFrame:
 
 
 def _finished(docs: DataFrame, window: int, made, columns: list[tuple]) -> DataFrame:
-    texts = packed_texts(docs)
+    tagged = ids_repeat(docs)
+    texts = packed_texts(docs, tagged)
     names = [c[0] for c in columns]
 
     def mapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
-            for text, own, (th, at) in zip(unpack(batch.column("blob")), batch.column("th").to_pylist(), columns_of(batch.column("marks"), ["th", "at"]), strict=True):
+            for text, (at,) in zip(unpack(batch.column("blob")), columns_of(batch.column("marks"), ["at"]), strict=True):
                 words = text.split()
-                starts = np.concatenate([*(a for t, a in zip(th, at, strict=True) if t == own), np.empty(0, np.int32)]).astype(np.int64)
+                starts = np.concatenate([*at, np.empty(0, np.int32)]).astype(np.int64)
                 kept = words
                 if len(starts):
                     stays = ~covered(starts, np.ones(len(starts), np.int64), window, len(words))
@@ -174,7 +182,7 @@ def _finished(docs: DataFrame, window: int, made, columns: list[tuple]) -> DataF
                 rows.append(made(words, kept))
             yield pa.RecordBatch.from_arrays([batch.column("dk"), *(pa.array(c, k[1]) for c, k in zip(zip(*rows, strict=True), columns, strict=True))], ["dk", *names])
 
-    joined = with_marks(texts, repeated_windows(docs, texts, window), "left")
+    joined = with_marks(texts, repeated_windows(docs, texts, window, tagged), tagged, "left")
     return joined.mapInArrow(mapped, "dk long, " + ", ".join(f"{c[0]} {c[2]}" for c in columns)).select(doc_id(), *names)
 
 

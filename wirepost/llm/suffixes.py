@@ -17,7 +17,9 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .repeats import by_doc, columns_of, covered, hashed_texts, int_lists, once_each, one_a_batch, packed_texts, scattered, small_batches, together, unpack, with_marks
+from .repeats import (
+    by_doc, columns_of, covered, distinct_texts, hashed_texts, ids_repeat, int_lists, once_each, one_a_batch, own_columns, packed_texts, scattered, small_batches, together, unpack, with_marks
+)
 from .shared import blocks, byte_values, doc_id, mix, window_hashes
 
 #: Fixed value: factor of the k-grams' polynomial hash.
@@ -76,35 +78,37 @@ def _units(pieces: list[tuple[int, int, bytes]], length: int, gram: int, spread:
     return text, h[anchor[starts]].view(np.int64), anchor[starts] + shift, starts + shift, ends - starts
 
 
-def keys(docs: DataFrame, length: int) -> DataFrame:
-    """(part, n, dk, pos, more): a unit's key, how often the batch has it, its first anchor; further anchors go in rows with n = 0."""
+def keys(docs: DataFrame, length: int, tagged: bool) -> DataFrame:
+    """(part, n, dk, th if tagged, pos, more): a unit's key, how often the batch has it, its first anchor; further anchors go in rows with n = 0."""
 
     def mapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in blocks(batches, "text", 32_000_000):
             text, key, anchor, _, _ = byte_units(byte_values(batch.column("text")), length)
-            dk = batch.column("dk").to_numpy()
+            dk, th = batch.column("dk").to_numpy(), batch.column("th").to_numpy()
             first, n, rest = one_a_batch(key, text)
             known = [(d, v[0]) for d, v in by_doc(text[rest], [anchor[rest]])]
-            at = dk[np.array([d for d, _ in known], np.int64)]
+            at = np.array([d for d, _ in known], np.int64)
             none = np.zeros(len(known), np.int64)
             yield pa.RecordBatch.from_arrays(
                 [
-                    pa.array(np.concatenate([key[first], scattered(at)])),
+                    pa.array(np.concatenate([key[first], scattered(dk[at])])),
                     pa.array(np.concatenate([n, none]).astype(np.int32)),
-                    pa.array(np.concatenate([dk[text[first]], at])),
+                    pa.array(np.concatenate([dk[text[first]], dk[at]])),
+                    pa.array(np.concatenate([th[text[first]], th[at]])),
                     pa.array(np.concatenate([anchor[first], none]).astype(np.int32)),
                     pa.concat_arrays([pa.nulls(len(first), pa.list_(pa.int32())), int_lists([p for _, p in known])]),
                 ],
-                ["part", "n", "dk", "pos", "more"],
+                ["part", "n", "dk", "th", "pos", "more"],
             )
 
-    return hashed_texts(docs).mapInArrow(mapped, "part long, n int, dk long, pos int, more array<int>")
+    rows = distinct_texts(hashed_texts(docs, tagged), tagged).mapInArrow(mapped, "part long, n int, dk long, th long, pos int, more array<int>")
+    return rows.select("part", "n", *own_columns(tagged), "pos", "more")
 
 
-def repeated_keys(docs: DataFrame, length: int) -> DataFrame:
-    """(k, marks): anchors of units whose key occurs more than once, by document id."""
-    counted = keys(docs, length).withColumn("all", F.sum("n").over(Window.partitionBy("part")))
-    return together(counted.where("n = 0 or all > 1").select("dk", F.coalesce("more", F.array("pos")).alias("at")), "at")
+def repeated_keys(docs: DataFrame, length: int, tagged: bool) -> DataFrame:
+    """(k, kth if tagged, marks): anchors of units whose key occurs more than once, by text."""
+    counted = keys(docs, length, tagged).withColumn("all", F.sum("n").over(Window.partitionBy("part")))
+    return together(counted.where("n = 0 or all > 1").select(*own_columns(tagged), F.coalesce("more", F.array("pos")).alias("at")), tagged, "at")
 
 
 def units(candidates: DataFrame, length: int) -> DataFrame:
@@ -134,7 +138,7 @@ def units(candidates: DataFrame, length: int) -> DataFrame:
                     pa.array(np.concatenate([digest[first], scattered(dk[at])])),
                     pa.array(np.concatenate([key[first], none])),
                     pa.array(np.concatenate([dk[text[first]], dk[at]])),
-                    pa.array(np.concatenate([th[text[first]], th[at]]).astype(np.int32)),
+                    pa.array(np.concatenate([th[text[first]], th[at]])),
                     pa.array(np.concatenate([pos[first], none]).astype(np.int32)),
                     pa.array(np.concatenate([size[first], none]).astype(np.int32)),
                     pa.concat_arrays([pa.nulls(len(first), pa.list_(pa.int32())), int_lists([p for _, p in known])]),
@@ -142,7 +146,7 @@ def units(candidates: DataFrame, length: int) -> DataFrame:
                 ["part", "key", "dk", "th", "pos", "size", "more"],
             )
 
-    return candidates.mapInArrow(mapped, "part long, key long, dk long, th int, pos int, size int, more array<int>")
+    return candidates.mapInArrow(mapped, "part long, key long, dk long, th long, pos int, size int, more array<int>")
 
 
 def unit_bytes(wanted: DataFrame, length: int) -> DataFrame:
@@ -154,9 +158,8 @@ def unit_bytes(wanted: DataFrame, length: int) -> DataFrame:
             single: tuple[list, ...] = ([], [], [], [])
             dk, th = batch.column("dk").to_numpy(), batch.column("th").to_numpy()
             put = lambda *x: [rows[n].append(v) for n, v in zip(rows, x, strict=True)]
-            for i, (text, own, (of, key, pos, size, crowded)) in enumerate(zip(unpack(batch.column("blob")), th.tolist(), columns_of(batch.column("marks"), ["th", "key", "pos", "size", "crowded"]), strict=True)):
-                mine = np.flatnonzero(of == own).tolist()
-                for j in mine:
+            for i, (text, own, (key, pos, size, crowded)) in enumerate(zip(unpack(batch.column("blob")), th.tolist(), columns_of(batch.column("marks"), ["key", "pos", "size", "crowded"]), strict=True)):
+                for j in range(len(key)):
                     p, s = int(pos[j]), int(size[j])
                     if not crowded[j]:
                         put(int(key[j]), int(dk[i]), own, p, s, text[p : p + s + length - 1], None)
@@ -175,11 +178,11 @@ def unit_bytes(wanted: DataFrame, length: int) -> DataFrame:
                     put(int(h1[j].view(np.int64)), int(dk[own[j]]), int(th[own[j]]), int(at[j]), 0, int(h2[j]).to_bytes(8, "big"), None)
                 for d, (starts,) in by_doc(own[rest], [at[rest]]):
                     put(int(scattered(dk[d : d + 1])[0]), int(dk[d]), int(th[d]), 0, -1, b"", np.column_stack([starts, np.ones_like(starts)]).ravel().tolist())
-            kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.list_(pa.int32())]
+            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.list_(pa.int32())]
             if rows["part"]:
                 yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(rows.values(), kinds, strict=True)], list(rows))
 
-    return wanted.mapInArrow(mapped, "part long, dk long, th int, pos int, size int, data binary, more array<int>")
+    return wanted.mapInArrow(mapped, "part long, dk long, th long, pos int, size int, data binary, more array<int>")
 
 
 def sort_suffixes(data: np.ndarray, wanted: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
@@ -295,7 +298,7 @@ def sorted_marks(rows: DataFrame, length: int) -> DataFrame:
 
         def marked(found: list[tuple[int, int, list[int]]]) -> pa.RecordBatch:
             cols = list(zip(*found, strict=True)) or [[], [], []]
-            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.int64(), pa.int32(), pa.list_(pa.int32())), strict=True)], names)
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.int64(), pa.int64(), pa.list_(pa.int32())), strict=True)], names)
 
         def judged(held: list[tuple]) -> list[tuple[int, int, list[int]]]:
             """held: (part, dk, th, pos, size, data, more), whole parts."""
@@ -326,21 +329,22 @@ def sorted_marks(rows: DataFrame, length: int) -> DataFrame:
             yield marked(judged(held))
 
     together_ = rows.repartition("part").sortWithinPartitions("part")
-    return together_.mapInArrow(mapped, "dk long, th int, at array<int>")
+    return together_.mapInArrow(mapped, "dk long, th long, at array<int>")
 
 
-def later_places(docs: DataFrame, texts: DataFrame, length: int) -> DataFrame:
-    """(k, marks): runs of starts (first, number, ...) of strings that also start earlier, by document id; th says in which of its texts."""
+def later_places(docs: DataFrame, texts: DataFrame, length: int, tagged: bool) -> DataFrame:
+    """(k, kth if tagged, marks): runs of starts (first, number, ...) of strings that also start earlier, by text."""
     place = F.struct("dk", "th", "pos")
     same = Window.partitionBy("part", "key")
-    every = units(with_marks(texts, repeated_keys(docs, length), "inner"), length).withColumn("first", F.min(place).over(same))
+    once = distinct_texts(texts, tagged)
+    every = units(with_marks(once, repeated_keys(docs, length, tagged), tagged, "inner"), length).withColumn("first", F.min(place).over(same))
     copies = every.where((F.col("size") == 0) | (place > F.col("first"))).select("dk", "th", F.coalesce("more", F.array("pos", "size")).alias("at"))
     # more is null wherever size is positive; reading it lets both branches read one shuffle
     distinct = every.where((F.col("size") > 0) & (place == F.col("first")) & F.col("more").isNull()).select("key", "dk", "th", "pos", "size")
     shared = distinct.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select(F.col("key").alias("key2"), (F.col("c") > MOST_UNITS).alias("crowded"))
     rivals = distinct.join(shared, F.col("key") == F.col("key2"))
-    held = with_marks(texts, together(rivals, "th", "key", "pos", "size", "crowded"), "inner")
-    return together(copies.unionByName(sorted_marks(unit_bytes(held, length), length)), "th", "at")
+    held = with_marks(once, together(rivals, tagged, "key", "pos", "size", "crowded"), tagged, "inner")
+    return together(copies.unionByName(sorted_marks(unit_bytes(held, length), length)), tagged, "at")
 
 
 def remove_later(docs: DataFrame, length: int = 100) -> DataFrame:
@@ -365,17 +369,18 @@ def suffix_digests(docs: DataFrame, length: int = 100) -> DataFrame:
 
 
 def _finished(docs: DataFrame, length: int, made, columns: list[tuple]) -> DataFrame:
-    texts = packed_texts(docs)
+    tagged = ids_repeat(docs)
+    texts = packed_texts(docs, tagged)
     names = [c[0] for c in columns]
 
     def mapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
-            for text, own, (th, at) in zip(unpack(batch.column("blob")), batch.column("th").to_pylist(), columns_of(batch.column("marks"), ["th", "at"]), strict=True):
-                runs = np.concatenate([*(a for t, a in zip(th, at, strict=True) if t == own), np.empty(0, np.int32)]).astype(np.int64)
+            for text, (at,) in zip(unpack(batch.column("blob")), columns_of(batch.column("marks"), ["at"]), strict=True):
+                runs = np.concatenate([*at, np.empty(0, np.int32)]).astype(np.int64)
                 data = np.frombuffer(text, np.uint8)
                 rows.append(made(data, ~covered(runs[::2], runs[1::2], length, len(data))))
             yield pa.RecordBatch.from_arrays([batch.column("dk"), *(pa.array(c, k[1]) for c, k in zip(zip(*rows, strict=True), columns, strict=True))], ["dk", *names])
 
-    joined = with_marks(texts, later_places(docs, texts, length), "left")
+    joined = with_marks(texts, later_places(docs, texts, length, tagged), tagged, "left")
     return joined.mapInArrow(mapped, "dk long, " + ", ".join(f"{c[0]} {c[2]}" for c in columns)).select(doc_id(), *names)
