@@ -157,7 +157,7 @@ def resample(docs: DataFrame, labels: DataFrame, k: int | None = None, seed: int
     text. Labels come from at most `labelled` rows, chosen by a hash of doc_id; those with a null id or quality count as
     unlabelled, of several for an id the lowest counts. With no labelled text of either quality, all rows stay.
 
-    Texts without words (null, empty) have weight 0 and stay if k reaches that far; without k they don't count. Rows that
+    Texts without words (null, empty) have weight 0 and stay if k reaches that far; without k they don't count, and stay only if all rows do. Rows that
     repeat id and text have equal keys and stay or go together. Null ids rank before others. An empty table gives none.
     """
     fitting, cutting = labelled_sample(labels, labelled)
@@ -172,6 +172,8 @@ def resample(docs: DataFrame, labels: DataFrame, k: int | None = None, seed: int
     total, fit = scored.agg(F.count("*"), F.count_if((F.col("n") > 0) & (F.col("weight") >= F.lit(cut)))).first()
     if k is None:
         k = total if cut == -np.inf else fit
+        if k < total:
+            keyed_rows = keyed_rows.where("n > 0")  # the cut counts texts with words only, so only they take places
     if k >= total:
         chosen = keyed_rows
     elif k <= 0:
