@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 from ..operators import anomaly
 from .bridge import table
 
+#: Captures whose sizes the driver deals to folds; more are an error.
+MAX_CAPTURES = 200_000
+
 
 def cells(s, d):
     rows = table(s, d, "embeddings").select(F.col("vec_id").alias("id"), "label", F.posexplode(F.slice("embedding", 1, 20)).alias("feature", "x"))
@@ -91,14 +94,21 @@ def agg_32(s, d):
 
 def dom_13(s, d):
     """Whole captures to three folds: the largest first, each to the fold that has fewest rows; captures are few."""
-    sizes = table(s, d, "embeddings").groupBy("label").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "label").limit(1000).collect()
+    return folds_of(table(s, d, "embeddings").select("vec_id", "label"))
+
+
+def folds_of(rows):
+    s = rows.sparkSession
+    sizes = rows.groupBy("label").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "label").limit(MAX_CAPTURES + 1).collect()
+    if len(sizes) > MAX_CAPTURES:
+        raise ValueError(f"more than {MAX_CAPTURES} captures")
     load, fold = [0, 0, 0], []
     for r in sizes:
         k = min(range(3), key=lambda i: (load[i], i))
         load[k] += r.n
         fold.append((r.label, k))
     folds = s.createDataFrame(fold, "label int, fold int")
-    return table(s, d, "embeddings").select("vec_id", "label").join(F.broadcast(folds), "label").groupBy("fold").agg(F.count("*").alias("n"), F.count_distinct("label").alias("captures"))
+    return rows.join(F.broadcast(folds), "label").groupBy("fold").agg(F.count("*").alias("n"), F.count_distinct("label").alias("captures"))
 
 
 def _srt_09(s, d):
