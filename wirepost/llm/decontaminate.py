@@ -119,9 +119,15 @@ class Benchmark:
         need = int(np.ceil(2 * size * self.least / (1 + self.least) - 1e-9))  # shingles in common that the similarity takes
         out = []
         for i, places in items:
-            if size > len(h) or len(places) == 0:
+            if len(places) == 0:
                 continue
             counts = Counter(self.h[i][1].tolist())
+            if size > len(h):  # the whole text is the one window
+                common = sum((counts & Counter(h.tolist())).values()) if len(h) >= self.least * size - 1e-9 else 0
+                similarity = common / (size + len(h) - common)
+                if similarity >= self.least:
+                    out.append((self.ids[i], 0, similarity))
+                continue
             best = None
             for run in np.split(places, np.flatnonzero(np.diff(places) >= size) + 1):
                 if len(run) < min(need, len(counts)) and max(counts.values()) == 1:
@@ -150,12 +156,13 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, width: int = 5, least: f
     """(doc_id, item_id, first_word, similarity, dk, th): the best window of each text for each benchmark item, if similar enough.
 
     Words are runs of ASCII letters, digits and non-ASCII characters, A-Z lower-cased; shingles have `width` words, or all
-    of an item's if it has fewer. A window has as many words as the item. Similarity is weighted Jaccard: each shingle weighs
+    of an item's if it has fewer. A window has as many words as the item; a text with fewer words is one window, compared
+    without fingerprints. Similarity is weighted Jaccard: each shingle weighs
     as often as it occurs. A window counts if it shares a shingle with the item (any with a similarity over 0 does), if their
     SimHash fingerprints differ in at most `radius` of 64 bits, and if the similarity is `least` or more; ties go to the
     earlier window. At a similarity of 0.8 fingerprints differ in about ten bits, three standard deviations below 20.
 
-    Items without words match nothing, nor do texts shorter than the item, null or empty texts. Repeated rows of docs each
+    Items without words match nothing, nor do null or empty texts. Repeated rows of docs each
     give rows; repeated items each give rows; null ids stay null; other columns are ignored. The benchmark goes to the tasks
     in chunks of bounded size, one narrow pass over docs for each; no shuffle, so no key can be hot.
     """
