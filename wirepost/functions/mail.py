@@ -8,8 +8,32 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: SMTP capability words of eight letters that are well known.
-KNOWN_CAPABILITIES = ("STARTTLS", "PIPELINING", "CHUNKING", "SMTPUTF8", "8BITMIME", "DSN", "SIZE", "HELP", "VRFY", "ETRN", "AUTH", "ENHANCEDSTATUSCODES")
+#: Keywords of the public registry of SMTP service extensions that have eight letters and nothing else.
+EIGHT_LETTERS = ("CHUNKING", "STARTTLS")
+#: What a line begins with, in upper case, and what that means, by protocol; the first meaning counts.
+END, TAG = r"([ \t]|\r?\n)", r"[^ \t\r\n]+[ \t]+"
+GRAMMAR = [
+    ("smtp", "auth", f"AUTH{END}"),
+    ("smtp", "STARTTLS", f"STARTTLS{END}"),
+    ("smtp", "accepted", r"220([ -]|\r?\n)"),
+    ("smtp", "rejected", r"5\d\d([ -]|\r?\n)"),
+    ("smtp", "other", r"\d{3}([ -]|\r?\n)"),
+    ("imap", "auth", f"{TAG}AUTHENTICATE{END}"),
+    ("imap", "STARTTLS", f"{TAG}STARTTLS{END}"),
+    ("imap", "accepted", f"{TAG}OK{END}"),
+    ("imap", "rejected", f"{TAG}(NO|BAD){END}"),
+    ("pop3", "auth", f"(AUTH|USER|PASS){END}"),
+    ("pop3", "STLS", f"STLS{END}"),
+    ("pop3", "accepted", r"\+OK"),
+    ("pop3", "rejected", r"-ERR"),
+]
+#: How either side opens, in upper case; the first protocol that fits counts.
+OPENINGS = [
+    ("smtp", "server", r"220[ -][^\n]*SMTP"),
+    ("smtp", "client", r"EHLO "),
+    ("imap", "server", r"\* (OK|PREAUTH)"),
+    ("pop3", "server", r"\+OK"),
+]
 LOWER, UPPER = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
@@ -21,11 +45,16 @@ def lower_ascii(text: Column) -> Column:
     return F.translate(text, UPPER, LOWER)
 
 
+def meaning(line: Column, kind: Column, *wanted: str) -> Column:
+    """Which of the wanted meanings GRAMMAR gives a line of that protocol; null if none."""
+    text = upper_ascii(line)
+    return F.coalesce(*(F.when((kind == p) & text.rlike(f"^{pattern}"), m) for p, m, pattern in GRAMMAR if m in wanted))
+
+
 def protocol(server: Column, client: Column) -> Column:
     """smtp, imap, pop3 or null, by the opening grammar of either side."""
-    s, c = upper_ascii(server), upper_ascii(client)
-    greeting = (s.startswith("220 ") | s.startswith("220-")) & F.substring_index(s, "\n", 1).contains("SMTP")
-    return F.when(greeting | c.startswith("EHLO "), "smtp").when(s.startswith("* OK") | s.startswith("* PREAUTH"), "imap").when(s.startswith("+OK"), "pop3")
+    text = {"server": upper_ascii(server), "client": upper_ascii(client)}
+    return F.coalesce(*(F.when(text[side].rlike(f"^{pattern}"), p) for p, side, pattern in OPENINGS))
 
 
 def classified(cleartext: Column, tls_first: Column, port_hint: Column) -> Column:
@@ -37,31 +66,17 @@ def classified(cleartext: Column, tls_first: Column, port_hint: Column) -> Colum
 
 
 def is_auth(line: Column, kind: Column) -> Column:
-    u = upper_ascii(line)
-    return (
-        F.when(kind == "smtp", u.rlike(r"^AUTH([ \t]|\r?\n)"))
-        .when(kind == "imap", u.rlike(r"^[^ \t\r\n]+[ \t]+AUTHENTICATE([ \t]|\r?\n)"))
-        .when(kind == "pop3", u.rlike(r"^(AUTH|USER|PASS)([ \t]|\r?\n)"))
-        .otherwise(F.lit(False))
-    )
+    return meaning(line, kind, "auth").isNotNull()
 
 
 def request_kind(line: Column, kind: Column) -> Column:
-    u = upper_ascii(line)
-    start = ((kind == "smtp") & u.rlike(r"^STARTTLS([ \t]|\r?\n)")) | ((kind == "imap") & u.rlike(r"^[^ \t\r\n]+[ \t]+STARTTLS([ \t]|\r?\n)"))
-    return F.when(start, "STARTTLS").when((kind == "pop3") & u.rlike(r"^STLS([ \t]|\r?\n)"), "STLS")
+    return meaning(line, kind, "STARTTLS", "STLS")
 
 
 def reply_status(line: Column, kind: Column, tag: Column) -> Column:
-    """accepted, rejected, other or null if the line is no reply to the request of this tag."""
-    u = upper_ascii(line)
-    code = F.regexp_extract(u, r"^(\d{3})([ -]|\r?\n)", 1)
-    smtp = F.when(code == "220", "accepted").when(code.startswith("5"), "rejected").when(code != "", "other")
-    word = F.regexp_extract(u, r"^[^ \t\r\n]+[ \t]+(OK|NO|BAD)([ \t]|\r?\n)", 1)
-    own = F.regexp_extract(line, r"^([^ \t\r\n]+)", 1) == tag
-    imap = F.when((word != "") & own, F.when(word == "OK", "accepted").otherwise("rejected"))
-    pop = F.when(u.startswith("+OK"), "accepted").when(u.startswith("-ERR"), "rejected")
-    return F.when(kind == "smtp", smtp).when(kind == "imap", imap).when(kind == "pop3", pop)
+    """accepted, rejected, other or null if the line is no reply to the request; only IMAP replies name their request's tag."""
+    own = (kind != "imap") | (F.substring_index(F.regexp_replace(line, r"[ \t\r\n]", " "), " ", 1) == tag)
+    return F.when(own, meaning(line, kind, "accepted", "rejected", "other"))
 
 
 def capability(line: Column) -> Column:
@@ -70,7 +85,7 @@ def capability(line: Column) -> Column:
 
 
 def suspicious_capability(word: Column) -> Column:
-    return word.rlike("^[A-Z]{8}$") & ~word.isin(*KNOWN_CAPABILITIES)
+    return word.rlike("^[A-Z]{8}$") & ~word.isin(*EIGHT_LETTERS)
 
 
 def hostname(value: Column) -> Column:

@@ -190,12 +190,12 @@ def dom_07(s, d):
 
 
 def signals(s, d):
-    rows = negotiated(s, d)
-    return rows.select("session", tls.client_signals(F.col("client")).alias("g"), tls.ocsp_stapling(F.col("client"), F.col("server"), F.col("types"), F.col("number")).alias("ocsp"), tls.forward_secrecy(F.col("number"), F.col("server"), F.col("cbc")).alias("fs"), tls.downgrade_flags(F.col("offered"), F.col("sentinel")).alias("w"))
+    rows = negotiated(s, d).select("session", "client", "server", "types", F.col("number").alias("version"), F.col("cbc").alias("static_kex"), "offered", "sentinel")
+    return tls.with_signals(rows).select("session", *tls.SIGNALS)
 
 
 def dom_04(s, d):
-    return signals(s, d).select("session", "g.*", "ocsp", "fs", "w.*")
+    return signals(s, d).withColumnsRenamed({"ocsp_stapling": "ocsp", "forward_secrecy": "fs"})
 
 
 SIGNALS = f"""{N}, g AS (
@@ -209,9 +209,8 @@ SIGNALS = f"""{N}, g AS (
 def dom_08(s, d):
     """Signals as sessions; a third of them has no evidence for what it shows."""
     proof = F.when(F.col("session") % 3 > 0, F.array(F.col("session"))).otherwise(F.array().cast("array<long>"))
-    names = {"downgrade_anomaly": "w.downgrade_anomaly", "downgrade_legacy_client": "w.downgrade_legacy_client", "forward_secrecy": "fs", "early_data_offered": "g.early_data_offered", "ech_offered": "g.ech_offered", "ocsp_stapling": "ocsp"}
-    rows = signals(s, d).select("session", *(F.col(c).alias(n) for n, c in names.items()), (F.col("session") % 53 == 0).alias("has_fallback_scsv"))
-    rows = rows.withColumns({f"evidence_{n}": proof for n in (*names, "has_fallback_scsv")})
+    rows = signals(s, d).withColumn("has_fallback_scsv", F.col("session") % 53 == 0)
+    rows = rows.withColumns({f"evidence_{signal}": proof for signal, *_ in verdicts.SIGNAL_RULES.values()})
     return verdicts.signal_findings(rows).select("session", "rule", "severity", "band")
 
 
