@@ -49,17 +49,38 @@ def unpack(blobs: pa.Array) -> Iterator[bytes]:
     return (take(x) for x in blobs.to_pylist())
 
 
-def one_a_batch(keys: np.ndarray, *orders: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Indices of the first row of each key by `orders`, how many rows it has, and the indices of all other rows.
+def one_a_batch(keys: np.ndarray | tuple[np.ndarray, ...], *orders: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Indices of the first row of each key (or of each combination of keys) by `orders`, how many rows it has, and the indices of all other rows.
 
     Only the first goes to the task that counts the key, so a key that is everywhere sends one row a batch there.
     """
-    if not len(keys):
+    keys = keys if isinstance(keys, tuple) else (keys,)
+    if not len(keys[0]):
         return (np.empty(0, np.int64),) * 3
-    order = np.lexsort((*reversed(orders), keys))
-    new = np.concatenate([[True], keys[order][1:] != keys[order][:-1]])
+    order = np.lexsort((*reversed(orders), *reversed(keys)))
+    new = np.zeros(len(order), bool)
+    new[0] = True
+    for k in keys:
+        new[1:] |= k[order][1:] != k[order][:-1]
     at = np.flatnonzero(new)
-    return order[at], np.diff(np.append(at, len(keys))), order[~new]
+    return order[at], np.diff(np.append(at, len(order))), order[~new]
+
+
+def runs(row: np.ndarray, start: np.ndarray) -> Iterator[tuple[int, int, int]]:
+    """(row, first, number) of runs of neighbouring starts of a row."""
+    order = np.lexsort((start, row))
+    u, a = row[order], start[order]
+    if not len(u):
+        return
+    cut = np.flatnonzero(np.concatenate([[True], (u[1:] != u[:-1]) | (a[1:] != a[:-1] + 1)]))
+    yield from zip(u[cut].tolist(), a[cut].tolist(), np.diff(np.append(cut, len(u))).tolist(), strict=True)
+
+
+def marked(found: list[tuple[int, int, list[int]]]) -> pa.RecordBatch:
+    """(dk, th, at) rows as a batch."""
+    cols = list(zip(*found, strict=True)) or [[], [], []]
+    kinds = (pa.int64(), pa.int64(), pa.list_(pa.int32()))
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["dk", "th", "at"])
 
 
 def by_doc(index: np.ndarray, values: list[np.ndarray]) -> Iterator[tuple[int, list[np.ndarray]]]:

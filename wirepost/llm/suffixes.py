@@ -18,9 +18,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .repeats import (
-    by_doc, columns_of, covered, distinct_texts, hashed_texts, ids_repeat, int_lists, once_each, one_a_batch, own_columns, packed_texts, scattered, small_batches, together, unpack, with_marks
+    by_doc, columns_of, covered, distinct_texts, hashed_texts, ids_repeat, int_lists, marked, once_each, one_a_batch, own_columns, packed_texts, runs, scattered, small_batches, together, unpack, with_marks
 )
-from .shared import blocks, byte_values, doc_id, mix, window_hashes
+from .shared import blocks, byte_values, doc_id, materialize, mix, window_hashes
 
 #: Fixed value: factor of the k-grams' polynomial hash.
 FACTOR = 0x9E3779B97F4A7C15
@@ -283,23 +283,13 @@ def later_strings(dk: np.ndarray, th: np.ndarray, pos: np.ndarray, size: np.ndar
     heads = np.flatnonzero(~common)
     least = np.repeat(np.minimum.reduceat(place, heads), np.diff(np.append(heads, len(sa))))
     late = np.flatnonzero(place > least)
-    u, a = of[late], at[late]
-    order = np.lexsort((a, u))
-    u, a = u[order], a[order]
-    cut = np.flatnonzero(np.concatenate([[True], (u[1:] != u[:-1]) | (a[1:] != a[:-1] + 1)]))
-    yield from zip(u[cut].tolist(), a[cut].tolist(), np.diff(np.append(cut, len(u))).tolist(), strict=True)
+    yield from runs(of[late], at[late])
 
 
 def sorted_marks(rows: DataFrame, length: int) -> DataFrame:
     """(dk, th, at): later strings among unit_bytes() rows, whose parts stand together and in order."""
 
     def mapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["dk", "th", "at"]
-
-        def marked(found: list[tuple[int, int, list[int]]]) -> pa.RecordBatch:
-            cols = list(zip(*found, strict=True)) or [[], [], []]
-            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.int64(), pa.int64(), pa.list_(pa.int32())), strict=True)], names)
-
         def judged(held: list[tuple]) -> list[tuple[int, int, list[int]]]:
             """held: (part, dk, th, pos, size, data, more), whole parts."""
             out = [(r[1], r[2], r[6]) for r in held if r[4] < 0]
@@ -333,18 +323,23 @@ def sorted_marks(rows: DataFrame, length: int) -> DataFrame:
 
 
 def later_places(docs: DataFrame, texts: DataFrame, length: int, tagged: bool) -> DataFrame:
-    """(k, kth if tagged, marks): runs of starts (first, number, ...) of strings that also start earlier, by text."""
+    """(k, kth if tagged, marks): runs of starts (first, number, ...) of strings that also start earlier, by text.
+
+    Units are written to the shared folder once, told by whether an identical one is earlier: two readers follow, and a lost
+    executor doesn't take the hashing with it.
+    """
     place = F.struct("dk", "th", "pos")
     same = Window.partitionBy("part", "key")
     once = distinct_texts(texts, tagged)
-    every = units(with_marks(once, repeated_keys(docs, length, tagged), tagged, "inner"), length).withColumn("first", F.min(place).over(same))
-    copies = every.where((F.col("size") == 0) | (place > F.col("first"))).select("dk", "th", F.coalesce("more", F.array("pos", "size")).alias("at"))
-    # more is null wherever size is positive; reading it lets both branches read one shuffle
-    distinct = every.where((F.col("size") > 0) & (place == F.col("first")) & F.col("more").isNull()).select("key", "dk", "th", "pos", "size")
+    every = units(with_marks(once, repeated_keys(docs, length, tagged), tagged, "inner"), length)
+    told = every.withColumn("copy", (F.col("size") == 0) | (place > F.min(place).over(same)))
+    kept = materialize(told.select("key", *own_columns(tagged), "pos", "size", "more", "copy"), "units")
+    copies = kept.where("copy").select(*own_columns(tagged), F.coalesce("more", F.array("pos", "size")).alias("at"))
+    distinct = kept.where("NOT copy").select("key", *own_columns(tagged), "pos", "size")
     shared = distinct.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select(F.col("key").alias("key2"), (F.col("c") > MOST_UNITS).alias("crowded"))
     rivals = distinct.join(shared, F.col("key") == F.col("key2"))
     held = with_marks(once, together(rivals, tagged, "key", "pos", "size", "crowded"), tagged, "inner")
-    return together(copies.unionByName(sorted_marks(unit_bytes(held, length), length)), tagged, "at")
+    return together(copies.unionByName(sorted_marks(unit_bytes(held, length), length).select(*own_columns(tagged), "at")), tagged, "at")
 
 
 def remove_later(docs: DataFrame, length: int = 100) -> DataFrame:
