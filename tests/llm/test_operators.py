@@ -355,8 +355,10 @@ def test_exact_products():
     assert topk.products(a, a).tolist() == [[2**62 + 2**40, 2**31 - 2**20], [2**31 - 2**20, 2]]
 
 
-@pytest.mark.parametrize("window", [35, 10, 3, 1])
-def test_substrings_as_brute_force(docs, rows, empty, window):
+@pytest.mark.parametrize(("window", "most", "held"), [(35, 4096, 10_000), (10, 4096, 2), (3, 4096, 10_000), (1, 4096, 10_000), (35, 1, 3), (10, 1, 10_000)])
+def test_substrings_as_brute_force(docs, rows, empty, monkeypatch, window, most, held):
+    monkeypatch.setattr(substrings, "MOST_CONTEXTS", most)
+    monkeypatch.setattr(substrings, "HELD_ROWS", held)
     texts = {(r[0], r[1] or "") for r in rows}
     split = {t: t[1].encode().split() for t in texts}
     count = Counter(tuple(w[i : i + window]) for w in split.values() for i in range(len(w) - window + 1))
@@ -370,6 +372,20 @@ def test_substrings_as_brute_force(docs, rows, empty, window):
     assert substrings.substring_digests(empty, window).count() == 0
 
 
+def test_extension_as_brute_force():
+    rng = random.Random(10)
+    reach, rows = 6, []
+    for _ in range(400):
+        key = rng.randrange(3)
+        rows.append((key, [rng.choice("ab") for _ in range(rng.choice([reach, reach, 2]))], [rng.choice("ab") for _ in range(rng.choice([reach, 3, 0]))]))
+    join = lambda ws: " ".join(ws).encode()
+    got = list(substrings.extended(np.array([r[0] for r in rows]), [join(reversed(r[1])) for r in rows], [join(r[2]) for r in rows], reach))
+    for s in range(reach + 1):
+        seen = lambda r, s=s: (r[0], *r[1][:s], "|", *r[2][: reach - s]) if len(r[1]) >= s and len(r[2]) >= reach - s else None
+        count = Counter(map(seen, rows))
+        assert got[s].tolist() == [i for i, r in enumerate(rows) if seen(r) and count[seen(r)] > 1]
+
+
 def test_covers_reach_every_shift():
     for period, cover in substrings.COVERS.items():
         for shift in range(period):
