@@ -1,7 +1,7 @@
 """Byte streams from segments: ownership of positions, conflicts, islands, provenance. Segments are (flow, dir, seq, frame, hex).
 
-Flows whose segments follow one another without overlap or hole are told by one aggregation and keep their segments as they
-are; only the others are opened into bytes.
+Nothing is opened into bytes. In the order of (sequence, frame) a segment owns what lies beyond all that earlier ones reach:
+one interval, found with a running maximum. So rows grow with segments, and a stream is one sorted pass.
 """
 
 from __future__ import annotations
@@ -26,41 +26,47 @@ def tidy_streams(segments: DataFrame) -> DataFrame:
     return steps.groupBy(*STREAM).agg(F.every("follows").alias("tidy"))
 
 
-def positions(segments: DataFrame) -> DataFrame:
-    """(flow, dir, pos, seq, frame, off, byte): one row for each byte."""
+def placed(segments: DataFrame) -> DataFrame:
+    """Segments that have bytes, with `upto` (how far earlier ones reach, null for the first) and `island` (their contiguous run, from 1)."""
+    order = Window.partitionBy(*STREAM).orderBy("seq", "frame")
     rows = with_size(segments).where("size > 0")
-    each = rows.select(*STREAM, "seq", "frame", "hex", F.explode(F.sequence(F.lit(0).cast("long"), F.col("size") - 1)).alias("off"))
-    return each.select(*STREAM, (F.col("seq") + F.col("off")).alias("pos"), "seq", "frame", "off", F.substring("hex", (2 * F.col("off") + 1).cast("int"), F.lit(2)).alias("byte"))
+    rows = rows.withColumn("upto", F.max(F.col("seq") + F.col("size")).over(order.rowsBetween(Window.unboundedPreceding, -1)))
+    opens = F.when(F.col("upto").isNull() | (F.col("seq") > F.col("upto")), 1).otherwise(0)
+    return rows.withColumn("island", F.sum(opens).over(order))
 
 
 def owners(segments: DataFrame) -> DataFrame:
-    """(flow, dir, pos, frame, off, byte): of the bytes at a position that of the smallest (sequence, frame)."""
-    best = F.min_by(F.struct("frame", "off", "byte"), F.struct("seq", "frame"))
-    return positions(segments).groupBy(*STREAM, "pos").agg(best.alias("o")).select(*STREAM, "pos", "o.frame", "o.off", "o.byte")
-
-
-def conflicts(segments: DataFrame) -> DataFrame:
-    """(flow, dir, pos, frame, byte, owner): bytes that differ from their position's owner."""
-    own = owners(segments).select(*STREAM, "pos", F.col("byte").alias("owner"))
-    return positions(segments).join(own, [*STREAM, "pos"]).where(F.col("byte") != F.col("owner")).select(*STREAM, "pos", "frame", "byte", "owner")
+    """(flow, dir, island, start, size, frame, off, hex): the interval that each segment owns; at a position the smallest (sequence, frame) counts."""
+    rows = placed(segments).withColumn("start", F.greatest("seq", "upto")).withColumn("off", F.col("start") - F.col("seq"))
+    own = rows.where("off < size")
+    return own.select(*STREAM, "island", "start", (F.col("size") - F.col("off")).alias("size"), "frame", "off", F.expr("substring(hex, int(2 * off) + 1)").alias("hex"))
 
 
 def chunks(segments: DataFrame) -> DataFrame:
     """(flow, dir, island, start, size, bytes): contiguous runs of owned positions, from 1, as hexadecimal text."""
-    order = Window.partitionBy(*STREAM).orderBy("pos")
-    marked = owners(segments).withColumn("new", F.coalesce((F.col("pos") != F.lag("pos").over(order) + 1).cast("int"), F.lit(1)))
-    runs = marked.withColumn("island", F.sum("new").over(order))
-    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "byte"))), lambda x: x["byte"]), "")
-    return runs.groupBy(*STREAM, "island").agg(F.min("pos").alias("start"), F.count("*").alias("size"), text.alias("bytes"))
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("start", "hex"))), lambda x: x["hex"]), "")
+    return owners(segments).groupBy(*STREAM, "island").agg(F.min("start").alias("start"), F.sum("size").alias("size"), text.alias("bytes"))
+
+
+def conflicts(segments: DataFrame) -> DataFrame:
+    """(flow, dir, pos, frame, byte, owner): bytes that differ from their position's owner.
+
+    What a segment shares with earlier ones lies in one island; only streams with such segments are put together, and only
+    shares that differ are looked at byte by byte.
+    """
+    shares = placed(segments).where("upto > seq").withColumn("shared", F.least("size", F.col("upto") - F.col("seq")))
+    shares = shares.select(*STREAM, "island", "seq", "frame", F.expr("substring(hex, 1, int(2 * shared))").alias("mine"))
+    whole = chunks(segments).select(*STREAM, "island", "start", "bytes")
+    met = shares.join(whole, [*STREAM, "island"]).withColumn("theirs", F.expr("substring(bytes, int(2 * (seq - start)) + 1, length(mine))"))
+    byte = lambda c, i: F.substring(c, 2 * i + 1, F.lit(2))
+    places = F.sequence(F.lit(0), (F.length("mine") / 2).cast("int") - 1)
+    odd = met.where("mine <> theirs").select(*STREAM, "seq", "frame", "mine", "theirs", F.explode(F.filter(places, lambda i: byte("mine", i) != byte("theirs", i))).alias("i"))
+    return odd.select(*STREAM, (F.col("seq") + F.col("i")).alias("pos"), "frame", byte("mine", F.col("i")).alias("byte"), byte("theirs", F.col("i")).alias("owner"))
 
 
 def provenance(segments: DataFrame) -> DataFrame:
     """(flow, dir, start, size, frame, off): runs of positions that one frame owns at steady offsets."""
-    run = Window.partitionBy(*STREAM, "frame", "shift").orderBy("pos")
-    rows = owners(segments).withColumn("shift", F.col("off") - F.col("pos"))
-    rows = rows.withColumn("run", F.col("pos") - F.row_number().over(run))
-    made = rows.groupBy(*STREAM, "frame", "shift", "run").agg(F.min("pos").alias("start"), F.count("*").alias("size"), F.min("off").alias("off"))
-    return made.select(*STREAM, "start", "size", "frame", "off")
+    return owners(segments).select(*STREAM, "start", "size", "frame", "off")
 
 
 def cited(ranges: DataFrame, slices: DataFrame) -> DataFrame:
@@ -73,11 +79,18 @@ def cited(ranges: DataFrame, slices: DataFrame) -> DataFrame:
     return clipped.join(whole, "id", "left_semi").select("id", "start", "size", "frame", "off")
 
 
-def overlaps(segments: DataFrame) -> DataFrame:
-    """(flow, dir, frame1, frame2, size): pairs of segments of a stream that share positions, and how many."""
+def overlaps(segments: DataFrame, stretch: int = 65_536) -> DataFrame:
+    """(flow, dir, frame1, frame2, size): pairs of segments of a stream that share positions, and how many.
+
+    Segments meet by stretches of the stream: the first is in each that it reaches into, the second where it starts. So a
+    pair meets once, and a long stream is many short groups.
+    """
     a, b = (with_size(segments).where("size > 0").select(*(F.col(c).alias(f"{c}{k}") for c in (*STREAM, "seq", "frame", "size"))) for k in (1, 2))
-    same = (F.col("flow1") == F.col("flow2")) & (F.col("dir1") == F.col("dir2")) & (F.struct("seq1", "frame1") < F.struct("seq2", "frame2"))
-    met = a.join(b, same & (F.col("seq2") < F.col("seq1") + F.col("size1")))
+    part = lambda at: F.floor(at / stretch)
+    a = a.withColumn("part1", F.explode(F.sequence(part(F.col("seq1")), part(F.col("seq1") + F.col("size1") - 1))))
+    b = b.withColumn("part2", part(F.col("seq2")))
+    same = (F.col("flow1") == F.col("flow2")) & (F.col("dir1") == F.col("dir2")) & (F.col("part1") == F.col("part2"))
+    met = a.join(b, same & (F.struct("seq1", "frame1") < F.struct("seq2", "frame2")) & (F.col("seq2") < F.col("seq1") + F.col("size1")))
     size = F.least(F.col("seq1") + F.col("size1"), F.col("seq2") + F.col("size2")) - F.col("seq2")
     return met.select(F.col("flow1").alias("flow"), F.col("dir1").alias("dir"), "frame1", "frame2", size.alias("size"))
 

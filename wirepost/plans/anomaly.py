@@ -83,6 +83,12 @@ def mth_07(s, d):
     return one.select("id", F.round(F.greatest(F.col("z"), other), 5).alias("ensemble"))
 
 
+def agg_29(s, d):
+    rows = scored(s, d)
+    middle = anomaly.quantiles(rows, ["label"], "score", median=0.5)
+    return rows.groupBy("label").agg(F.max("score").alias("highest")).join(middle, "label").select("label", F.round("median", 4).alias("median"), "highest")
+
+
 def agg_32(s, d):
     """Mean overlap of the ten highest rows of the captures' score under two orders."""
     a = Window.partitionBy("label").orderBy(F.desc("score"), "id")
@@ -121,7 +127,7 @@ QUERIES = {
     "agg_25": agg_25,
     "agg_26": lambda s, d: anomaly.quantile_higher(scored(s, d), "label", "score", 0.99),
     "agg_27": agg_27,
-    "agg_29": lambda s, d: scored(s, d).groupBy("label").agg(F.round(F.median("score"), 4).alias("median"), F.max("score").alias("highest")),
+    "agg_29": agg_29,
     "agg_32": agg_32,
     "dom_12": lambda s, d: cells(s, d).groupBy("id").agg(F.count("value").alias("observed"), F.sum("value").alias("total")),
     "dom_13": dom_13,
@@ -146,6 +152,12 @@ ORACLES = {
     "agg_29": f"{HIST} SELECT label, round(median(score), 4) AS median, max(score) AS highest FROM sc GROUP BY label",
     "agg_32": f"""{HIST}, k AS (SELECT label, row_number() OVER (PARTITION BY label ORDER BY score DESC, id) AS r1, row_number() OVER (PARTITION BY label ORDER BY round(score, 0) DESC, id) AS r2 FROM sc),
         j AS (SELECT label, count(*) FILTER (WHERE r1 <= 10 AND r2 <= 10) / count(*) AS x FROM k WHERE r1 <= 10 OR r2 <= 10 GROUP BY label) SELECT round(avg(x), 6) AS jaccard FROM j""",
+    "dom_13": """WITH RECURSIVE s AS (SELECT label, count(*) AS n, row_number() OVER (ORDER BY count(*) DESC, label) AS i FROM embeddings GROUP BY label),
+        r AS (SELECT CAST(0 AS BIGINT) AS i, CAST(0 AS BIGINT) AS a, CAST(0 AS BIGINT) AS b, CAST(0 AS BIGINT) AS c, -1 AS fold, CAST(0 AS BIGINT) AS n
+            UNION ALL
+            SELECT i, a + CASE fold WHEN 0 THEN n ELSE 0 END, b + CASE fold WHEN 1 THEN n ELSE 0 END, c + CASE fold WHEN 2 THEN n ELSE 0 END, fold, n
+            FROM (SELECT s.i, s.n, a, b, c, CASE WHEN a <= b AND a <= c THEN 0 WHEN b <= c THEN 1 ELSE 2 END AS fold FROM r JOIN s ON s.i = r.i + 1))
+        SELECT fold, CAST(sum(n) AS BIGINT) AS n, count(*) AS captures FROM r WHERE fold >= 0 GROUP BY fold""",
     "dom_12": f"{C} SELECT id, count(value) AS observed, sum(value) AS total FROM c GROUP BY id",
     "flt_19": f"{C} SELECT CAST(feature AS INTEGER) AS feature FROM c GROUP BY feature HAVING count(value) > 1 AND max(value) > min(value)",
     "mth_04": f"{HIST} SELECT id, CAST(feature AS INTEGER) AS feature, round(part, 6) AS part FROM pt",

@@ -72,10 +72,13 @@ def _next(s, d, kind, wanted):
 
 
 def _dense(first):
-    """Ranks by (bucket counts before) + (rank in bucket): no window over the whole table."""
+    """Ranks by (counts of buckets before) + (rank in bucket), bucket counts summed up likewise: no window over the whole table."""
     rows = first.withColumn("b", F.floor(F.col("first_event") / 1000))
-    counts = rows.groupBy("b").agg(F.count("*").alias("n"))
-    before = counts.select(F.col("b").alias("b2"), (F.sum("n").over(Window.orderBy("b")) - F.col("n")).alias("before"))
+    counts = rows.groupBy("b").agg(F.count("*").alias("n")).withColumn("bb", F.floor(F.col("b") / 1000))
+    upper = counts.groupBy("bb").agg(F.sum("n").alias("nn"))
+    upper = upper.select(F.col("bb").alias("bb2"), (F.sum("nn").over(Window.orderBy("bb")) - F.col("nn")).alias("far"))  # a row for a million places
+    near = F.sum("n").over(Window.partitionBy("bb").orderBy("b")) - F.col("n")
+    before = counts.withColumn("near", near).join(upper, F.col("bb") == F.col("bb2")).select(F.col("b").alias("b2"), (F.col("far") + F.col("near")).alias("before"))
     ranked = rows.withColumn("r", F.row_number().over(Window.partitionBy("b").orderBy("first_event")))
     return ranked.join(before, F.col("b") == F.col("b2")).select("user_id", (F.col("before") + F.col("r")).alias("stream"))
 
@@ -86,7 +89,7 @@ QUERIES = {
     "agg_03": agg_03,
     "agg_04": lambda s, d: events(s, d).agg(F.count_distinct("user_id").alias("flows")),
     "agg_05": agg_05,
-    "agg_06": lambda s, d: reassembly.owners(segments(s, d)).groupBy("flow", "dir", "frame").agg(F.count("*").alias("owned")),
+    "agg_06": lambda s, d: reassembly.owners(segments(s, d)).groupBy("flow", "dir", "frame").agg(F.sum("size").alias("owned")),
     "agg_07": lambda s, d: reassembly.conflicts(segments(s, d)),
     "agg_08": agg_08,
     "agg_09": agg_09,
