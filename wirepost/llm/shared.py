@@ -62,6 +62,19 @@ def fresh(df: DataFrame, *names: str) -> list[str]:
     return out
 
 
+def same_keys(*pairs: tuple[str, str]) -> Column:
+    """A join condition on long columns whose sides are both dealt for the join alone, so that Spark can split a hot key.
+
+    A side that was grouped by the keys is already dealt by them, and what is dealt for two purposes is never split; the
+    parity of the last key as one more condition asks for a dealing of its own.
+    """
+    (*_, (a, b)) = pairs
+    met = F.pmod(F.col(a), F.lit(2)) == F.pmod(F.col(b), F.lit(2))
+    for a, b in pairs:
+        met = met & (F.col(a) == F.col(b))
+    return met
+
+
 def text_hash(text: Column) -> Column:
     """Tells rows that share an id apart; equal rows stay equal."""
     return F.xxhash64(text)

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .components import components
-from .shared import NULL_ID, blocks, byte_values, doc_id, fresh, keyed, materialize, text_hash
+from .shared import NULL_ID, blocks, byte_values, doc_id, fresh, keyed, materialize, same_keys, text_hash
 
 SEED = 42
 
@@ -117,7 +117,7 @@ def _labelled(docs: DataFrame, width: int, radius: int) -> tuple[DataFrame, Data
     by_fp = firsts.join(found, F.col("fp") == F.col("fp2"), "left").select(
         F.col("fp").alias("fp3"), F.coalesce("root", "fp").alias("root"), F.when(F.col("root").isNull(), F.col("first")).otherwise(F.col("least")).alias("cid")
     )
-    return fps.join(by_fp, F.col("fp") == F.col("fp3")).select("dk", "th", "fp", "root", "cid"), fps
+    return fps.join(by_fp, same_keys(("fp", "fp3"))).select("dk", "th", "fp", "root", "cid"), fps
 
 
 def drop_near_duplicates(docs: DataFrame, width: int = 3, radius: int = 2) -> DataFrame:
