@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import NULL_ID, fresh_path
+from .shared import NULL_ID, fresh_path, same_keys
 
 #: Digits of base 32 as numbers are written, and as RFC 4648 has them.
 NUMERALS, RFC4648 = "0123456789ABCDEFGHIJKLMNOPQRSTUV", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
@@ -37,11 +37,13 @@ def with_originals(pages: DataFrame, least: int) -> DataFrame:
     url = F.regexp_replace(F.coalesce(F.col("url").cast("string"), F.lit("")), "[\\r\\n]", " ")
     page = F.coalesce(F.col("page_id").cast("long"), F.lit(NULL_ID))
     rows = pages.select(page.alias("page"), url.alias("url"), payload.alias("payload")).withColumn("digest", base32_sha1(F.col("payload")))
-    same = rows.where((F.octet_length("payload") >= least) & (F.col("page") != NULL_ID)).groupBy("digest").agg(F.min("page").alias("first"), F.count("*").alias("n")).where("n > 1")
-    copies = same.select(F.col("digest").alias("digest2"), "first")
-    met = rows.join(copies, F.col("digest") == F.col("digest2"), "left")
-    refers = F.when((F.col("first") != F.col("page")) & (F.octet_length("payload") >= least) & (F.col("page") != NULL_ID), F.col("first"))
-    return met.select("page", "url", "payload", "digest", refers.alias("refers"))
+    # only ids and digests meet by digest; payloads are dealt by page, so a payload that is everywhere stays spread
+    light = rows.where((F.octet_length("payload") >= least) & (F.col("page") != NULL_ID)).select("page", "digest", F.xxhash64("digest").alias("h"))
+    same = light.groupBy("h", "digest").agg(F.min("page").alias("first"), F.count("*").alias("n")).where("n > 1")
+    copies = light.join(same.select(F.col("h").alias("h2"), F.col("digest").alias("digest2"), "first"), same_keys(("h", "h2")) & (F.col("digest") == F.col("digest2")))
+    refers = copies.where(F.col("page") != F.col("first")).select(F.col("page").alias("page2"), F.col("digest").alias("digest3"), F.col("first").alias("refers")).distinct()
+    met = rows.join(refers, (F.col("page") == F.col("page2")) & (F.col("digest") == F.col("digest3")), "left")
+    return met.select("page", "url", "payload", "digest", "refers")
 
 
 def records(pages: DataFrame, least: int = 0, segment: int = SEGMENT, chunk: int = CHUNK) -> DataFrame:
@@ -127,74 +129,83 @@ def parse(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
         at = to + 8 + len(block)
 
 
-PARTS = "origin string, segment int, total long, kind string, refers string, digest string, block binary"
+PARTS = "origin string, segment int, total long, kind string, refers string, digest string, block binary, n long"
+DECODED = "page long, record_type string, refers_to long, digest string, n long, payload binary"
 
 
-def read_records(spark, path: str) -> DataFrame:
-    """One row for each record below path: the record that it continues (or itself), its segment number, the total length if it says so, and its block."""
+def read_records(spark, path: str, payloads: bool = True) -> DataFrame:
+    """One row for each record below path: the record that it continues (or itself), its segment number, the total length if it says so, and its block.
+
+    A record that stands in one piece (segment 0) is decoded at once: its block is the payload, left out if payloads aren't
+    wanted, and n the payload's length; a revisit has neither.
+    """
 
     def mapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kinds = [pa.string(), pa.int32(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.binary()]
+        kinds = [pa.string(), pa.int32(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.binary(), pa.int64()]
         names = [c.split()[0] for c in PARTS.split(", ")]
         for batch in batches:
-            for i in range(batch.num_rows):
+            for content in batch.column("content"):
                 rows = []
-                for f, block in parse(batch.column("content")[i].as_py()):
-                    total = f.get("warc-segment-total-length")
-                    rows.append((f.get("warc-segment-origin-id", f["warc-record-id"]), int(f.get("warc-segment-number", 0)), total and int(total), f["warc-type"], f.get("warc-refers-to"), f.get("warc-payload-digest"), block))
+                for f, block in parse(content.as_py()):
+                    number, total, n = int(f.get("warc-segment-number", 0)), f.get("warc-segment-total-length"), None
+                    if number == 0:
+                        block = None if f["warc-type"] == "revisit" else unframed(f["warc-record-id"], f["warc-payload-digest"], block)
+                        n, block = None if block is None else len(block), block if payloads else None
+                    rows.append((f.get("warc-segment-origin-id", f["warc-record-id"]), number, total and int(total), f["warc-type"], f.get("warc-refers-to"), f.get("warc-payload-digest"), block, n))
                 if rows:  # a writer that got no page leaves an empty archive
                     yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
 
     return spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("content").mapInArrow(mapped, PARTS)
 
 
+def unframed(origin: str, digest: str, block: bytes) -> bytes:
+    """A response's payload out of its transfer framing, held against its digest."""
+    head, _, body = block.partition(b"\r\n\r\n")
+    payload = dechunked(body) if re.search(rb"(?i)transfer-encoding:\s*chunked", head) else body
+    if base64.b32encode(hashlib.sha1(payload).digest()).decode() != digest.removeprefix("sha1:"):
+        raise ValueError(f"the payload of {origin} isn't what its digest says")
+    return payload
+
+
 def reassembled(parts: DataFrame) -> DataFrame:
-    """(origin, kind, refers, digest, block): records with their continuations joined by segment number.
+    """(origin, whole, kind, refers, digest, block, n): records, those in segments joined by segment number.
 
-    Only records in segments are shuffled. A gap in the numbers, a missing end or a length other than the one said fails.
-    A record that was written several times, with all its segments, counts as often as its first segment.
+    A gap in the numbers, a missing end or a length other than the one said fails. A record that was written several times,
+    with all its segments, counts as often as its first one. All rows of a record meet in one shuffle, which every use of the
+    result can share.
     """
-    single = parts.where("segment = 0").select("origin", "kind", "refers", "digest", "block")
-    segment = F.struct("segment", "block", "total", "kind", "digest")
-    split = parts.where("segment > 0").groupBy("origin").agg(F.collect_list(segment).alias("all"))
-    copies = F.size(F.filter("all", lambda s: s["segment"] == 1))
-    ordered = F.filter(F.array_sort("all"), lambda s: s["segment"] > 0)
-    each = split.withColumn("copies", copies).withColumn("all", F.array_distinct(ordered))
+    segment = F.struct("segment", "block", "total", "kind", "refers", "digest", "n")
+    each = parts.groupBy("origin").agg(F.collect_list(segment).alias("all"))
+    each = each.withColumns({"copies": F.size(F.filter("all", lambda s: s["segment"] <= 1)), "all": F.array_distinct(F.array_sort("all"))})
+    first = F.element_at("all", 1)
+    each = each.withColumn("whole", F.coalesce(first["segment"] == 0, F.lit(False)))
     numbers = F.transform("all", lambda s: s["segment"])
-    blocks = F.aggregate(F.transform("all", lambda s: s["block"]), F.lit(b"").cast("binary"), lambda a, b: F.concat(a, b))
+    joined = F.unhex(F.array_join(F.transform("all", lambda s: F.hex(s["block"])), ""))  # in one step, however many segments
+    each = each.withColumn("block", F.when(F.col("whole"), first["block"]).otherwise(joined))
     total = F.array_max(F.transform("all", lambda s: s["total"]))
-    whole = (numbers == F.sequence(F.lit(1), F.size("all"))) & total.isNotNull() & (F.octet_length("block") == total)
-    joined = each.withColumn("block", blocks).withColumn("ok", F.coalesce(whole, F.lit(False)))
-    checked = joined.where(F.when(F.col("ok"), F.lit(True)).otherwise(F.raise_error(F.concat(F.lit("segments are missing of "), F.col("origin")))))
-    first = F.element_at("all", 1)
-    once = checked.select("origin", first["kind"].alias("kind"), F.lit(None).cast("string").alias("refers"), first["digest"].alias("digest"), "block", "copies")
-    return single.unionByName(once.select(F.explode(F.sequence(F.lit(1), "copies")), "origin", "kind", "refers", "digest", "block").drop("col"))
+    good = F.col("whole") | ((numbers == F.sequence(F.lit(1), F.size("all"))) & total.isNotNull() & (F.octet_length("block") == total))
+    fails = F.raise_error(F.concat(F.lit("segments are missing of "), F.col("origin"))).cast("int")
+    each = each.withColumn("copies", F.when(F.coalesce(good, F.lit(False)), F.col("copies")).otherwise(fails))
+    once = each.select("origin", "whole", first["kind"].alias("kind"), first["refers"].alias("refers"), first["digest"].alias("digest"), "block", first["n"].alias("n"), "copies")
+    return once.select("*", F.explode(F.sequence(F.lit(1), "copies")).alias("copy")).drop("copies", "copy")
 
 
-def read_archives(spark, path: str) -> DataFrame:
-    """(page, record_type, refers_to, digest, payload): the records below path, payloads out of their transfer framing; a revisit has none."""
+def read_archives(spark, path: str, payloads: bool = True) -> DataFrame:
+    """(page, record_type, refers_to, digest, n, payload): the records below path, payloads (null if not wanted) out of their transfer framing, and their lengths; a revisit has neither."""
 
     def mapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            pages, payloads, refers = [], [], []
-            digests = [d.removeprefix("sha1:") for d in batch.column("digest").to_pylist()]
-            for origin, kind, to, digest, block in zip(batch.column("origin").to_pylist(), batch.column("kind").to_pylist(), batch.column("refers").to_pylist(), digests, batch.column("block").to_pylist(), strict=True):
-                pages.append(page_of(origin))
-                refers.append(page_of(to) if to else None)
-                head, _, body = block.partition(b"\r\n\r\n")
-                if kind == "revisit":
-                    payloads.append(None)
-                    continue
-                payload = dechunked(body) if re.search(rb"(?i)transfer-encoding:\s*chunked", head) else body
-                if base64.b32encode(hashlib.sha1(payload).digest()).decode() != digest:
-                    raise ValueError(f"the payload of {origin} isn't what its digest says")
-                payloads.append(payload)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(pages, pa.int64()), batch.column("kind"), pa.array(refers, pa.int64()), pa.array(digests), pa.array(payloads, pa.binary())],
-                ["page", "record_type", "refers_to", "digest", "payload"],
-            )
-
-    return reassembled(read_records(spark, path)).mapInArrow(mapped, "page long, record_type string, refers_to long, digest string, payload binary")
+            rows = []
+            for origin, whole, kind, refers, digest, block, n in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if not whole:
+                    block = unframed(origin, digest, block)
+                    n, block = len(block), block if payloads else None
+                rows.append((page_of(origin), kind, page_of(refers) if refers else None, digest.removeprefix("sha1:"), n, block))
+            if rows:
+                kinds = [pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.binary()]
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], [c.split()[0] for c in DECODED.split(", ")])
+
+    return reassembled(read_records(spark, path, payloads)).mapInArrow(mapped, DECODED)
 
 
 def page_of(name: str) -> int:
@@ -215,11 +226,10 @@ def archive(pages: DataFrame, least: int = 0, path: str | None = None, **options
     spark = pages.sparkSession
     path = path or fresh_path(spark, "warc")
     write_archives(pages, path, least=least, **options)
-    back = read_archives(spark, path).select("page", "record_type", "refers_to", "digest", F.octet_length("payload").cast("long").alias("n"))
+    read = read_archives(spark, path, payloads=False).drop("payload")
+    back = read.withColumn("to", F.coalesce("refers_to", "page"))
     wanted = back.where(F.col("refers_to").isNull()).groupBy("page", "digest").agg(F.max("n").alias("whole")).select(F.col("page").alias("page2"), F.col("digest").alias("digest2"), "whole")
-    met = back.join(wanted, (F.coalesce("refers_to", "page") == F.col("page2")) & (F.col("digest") == F.col("digest2")), "left")
+    met = back.join(wanted, same_keys(("to", "page2")) & (F.col("digest") == F.col("digest2")), "left")
     sure = F.when(F.col("refers_to").isNull() | F.col("whole").isNotNull(), F.coalesce("n", "whole")).otherwise(F.raise_error(F.lit("a revisit's response is missing")).cast("long"))
     page = F.when(F.col("page") != NULL_ID, F.col("page"))
     return met.select(page.alias("page_id"), sure.alias("payload_bytes"), F.col("digest").alias("payload_digest"), "record_type", "refers_to")
-
-
