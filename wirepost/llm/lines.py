@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import NULL_ID, fresh, keyed, text_hash
+from .shared import NULL_ID, fresh, keyed, same_keys, text_hash
 
 
 def split_lines(text: Column) -> Column:
@@ -29,7 +29,7 @@ def covered_lines(docs: DataFrame, size: int = 3) -> DataFrame:
     place = F.struct("dk", "th", "pos")
     firsts = every.groupBy("h1", "h2").agg(F.count("*").alias("n"), F.min(place).alias("first")).where("n > 1")
     firsts = firsts.select(F.col("h1").alias("g1"), F.col("h2").alias("g2"), "first")
-    later = every.join(firsts, (F.col("h1") == F.col("g1")) & (F.col("h2") == F.col("g2"))).where(place > F.col("first"))
+    later = every.join(firsts, same_keys(("h1", "g1"), ("h2", "g2"))).where(place > F.col("first"))
     starts = later.groupBy("dk", "th").agg(F.collect_set("pos").alias("starts"))
     merged = F.array_distinct(F.flatten(F.transform("starts", lambda p: F.sequence(p, p + size - 1))))
     return starts.select("dk", "th", merged.alias("covered"))
