@@ -17,25 +17,26 @@ BASE_PHRASES = {
     "apache license": "apache",
     "general public license": "gpl",
 }
-#: Well-known opening or core passages of public licences, by the label they give.
+#: Paragraphs of public licences and their usual notices, by the label that each gives. MIT, BSD, ISC, zlib,
+#: Boost and the Unlicense stand whole; of the longer ones there are the notices that files carry.
 TEMPLATES = {
-    "mit": [
-        "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the Software), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software",
-        "Licensed under the MIT License",
+    "agpl": [
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+        "Licensed under the GNU Affero General Public License",
     ],
     "apache": [
         "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0",
+        "Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an AS IS BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.",
         "SPDX-License-Identifier: Apache-2.0",
     ],
-    "gpl": [
-        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
-        "Licensed under the GNU General Public License",
+    "boost": [
+        "Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license (the Software) to use, reproduce, display, distribute, execute, and transmit the Software, and to prepare derivative works of the Software, and to permit third-parties to whom the Software is furnished to do so, all subject to the following:",
+        "The copyright notices in the Software and this entire statement, including the above license grant, this restriction and the following disclaimer, must be included in all copies of the Software, in whole or in part, and all derivative works of the Software, unless such copies or derivative works are solely in the form of machine-executable object code generated by a source language processor.",
     ],
     "bsd": [
         "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met",
-    ],
-    "mpl": [
-        "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
+        "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.",
+        "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.",
     ],
     "cc-by": [
         "Licensed under CC BY 4.0",
@@ -45,9 +46,38 @@ TEMPLATES = {
         "Licensed under CC BY-NC 4.0",
         "This work is licensed under a Creative Commons Attribution NonCommercial 4.0 International License",
     ],
+    "gpl": [
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+        "This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details.",
+        "Licensed under the GNU General Public License",
+    ],
+    "isc": [
+        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
+    ],
+    "lgpl": [
+        "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version.",
+        "Licensed under the GNU Lesser General Public License",
+    ],
+    "mit": [
+        "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the Software), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software",
+        "THE SOFTWARE IS PROVIDED AS IS, WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.",
+        "Licensed under the MIT License",
+    ],
+    "mpl": [
+        "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/.",
+        "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
+    ],
     "proprietary": [
         "All rights reserved. No part of this work may be reproduced without permission",
     ],
+    "unlicense": [
+        "This is free and unencumbered software released into the public domain.",
+        "Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.",
+    ],
+    "zlib": [
+        "This software is provided as-is, without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software.",
+        "Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions",
+    ],
 }
 #: Separators become spaces, A-Z lower case; all other bytes stay, so words hold ASCII letters, digits and non-ASCII bytes.
 TABLE = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
@@ -155,32 +185,70 @@ class Scanner:
                     if n >= self.least and (i + 1 == len(seen) or seen[i + 1][1] <= n):  # a match that can't be extended
                         for t, p in a.ends[state]:
                             pieces.setdefault(t, []).append((at - n + 1, at + 1, p - n + 1, p + 1))
-        spans = [s for t, ps in sorted(pieces.items()) if (s := self.chain(t, ps))]
+        spans = [s for t, ps in sorted(pieces.items()) for s in self.spans(t, ps)]
         base_labels = sorted({a.phrases[p][0] for _, p in base})
         starts = [s for s, _ in base]
         labels = sorted({*base_labels, *(s[0] for s in spans)})
         score = max([s[3] for s in spans], default=0.0)
         return len(words), len(base), min(starts, default=None), max(starts, default=None), ",".join(base_labels), ",".join(labels), max(score, 1.0 if base else 0.0), spans
 
-    def chain(self, t: int, pieces: list[tuple[int, int, int, int]]) -> tuple | None:
-        """The best chain of matches that go forward in both text and template; a span if it covers enough of the template."""
-        best: tuple = (0, 0, 0)
-        tails: list[tuple[int, int, int, int]] = []  # (covered words, text start, text end, template end)
-        for s, e, ts, te in sorted(set(pieces), key=lambda x: x[1]):
-            tail = (te - ts, s, e, te)
-            tails = [x for x in tails if s - x[2] <= self.gap]
-            for covered, start, end, tend in tails:
-                cut = max(0, end - s, tend - ts)
-                if cut < e - s and end < e and tend < te:
-                    tail = max(tail, (covered + te - ts - cut, start, e, te))
-            tails = sorted([*(x for x in tails if x[3] != te), tail])[-KEPT_TAILS:] if len(tails) > KEPT_TAILS else [*tails, tail]
-            best = max(best, (tail[0], -tail[1], tail[2]))
-        share = min(1.0, best[0] / self.a.lengths[t])
-        return (self.a.labels[t], -best[1], best[2], share) if share >= self.share else None
+    def spans(self, t: int, pieces: list[tuple[int, int, int, int]]) -> list[tuple]:
+        """All spans of template t (label, start, end, share): one for each stretch of text that goes through it once.
+
+        A stretch ends where matches are more than `gap` words apart, and where one begins after a chain that is good enough
+        and goes back in the template.
+        """
+        out, chain = [], Chain(self.gap, self.a.lengths[t])
+        for piece in sorted(set(pieces), key=lambda x: (x[1], x[0])):
+            s, _, ts, _ = piece
+            covered, start, end, tend = chain.best
+            apart = chain.end > 0 and s - chain.end > self.gap
+            back = covered >= self.share * self.a.lengths[t] and s >= end and ts < tend
+            if apart or back:
+                out.append(chain.best)
+                chain = Chain(self.gap, self.a.lengths[t])
+            chain.add(piece)
+        out.append(chain.best)
+        length = self.a.lengths[t]
+        return [(self.a.labels[t], start, end, min(1.0, covered / length)) for covered, start, end, _ in out if covered >= self.share * length]
+
+
+class Chain:
+    """The best chain of matches that go forward in both text and template, at most `gap` words of text apart; grows by one match at a time, by end.
+
+    Of the open chains only those stay that another one with the same place in the template can't replace: a chain that
+    ends d words earlier in the text is worth keeping if it covers less by under d words. So there are few, and no cap.
+    """
+
+    def __init__(self, gap: int, longest: int) -> None:
+        self.gap, self.longest = gap, longest
+        self.best: tuple[int, int, int, int] = (0, 0, 0, 0)  # covered words, text start, text end, template end
+        self.end = 0
+        self.open: dict[int, list[tuple[int, int, int, int]]] = {}
 
+    def add(self, piece: tuple[int, int, int, int]) -> None:
+        s, e, ts, te = piece
+        if e > self.end:
+            self.prune(e)
+        tail = (te - ts, s, e, te)
+        for covered, start, end, tend in (x for chains in self.open.values() for x in chains):
+            cut = max(0, end - s, tend - ts)
+            if s - end <= self.gap and cut < e - s and end < e and tend < te:
+                tail = max(tail, (covered + te - ts - cut, start, e, te))
+        self.open.setdefault(te, []).append(tail)
+        self.end = max(self.end, e)
+        self.best = max(self.best, tail, key=lambda x: (x[0], -x[1], x[2]))
 
-#: Chains of one template that stay open at a place: longer ones win.
-KEPT_TAILS = 64
+    def prune(self, e: int) -> None:
+        """Forget chains that no match which ends at e or later can go on from, and those that others replace."""
+        for place, chains in list(self.open.items()):
+            kept: list[tuple[int, int, int, int]] = []
+            for x in sorted(chains, key=lambda x: (-x[2], -x[0])):
+                if e - self.longest - x[2] <= self.gap and all(x[0] > y[0] - (y[2] - x[2]) for y in kept):
+                    kept.append(x)
+            self.open[place] = kept
+            if not kept:
+                del self.open[place]
 
 
 class _Unknown:
@@ -203,7 +271,7 @@ def scan_licenses(docs: DataFrame, least: int = 3, gap: int = 20, share: float =
     Words are runs of ASCII letters, digits and non-ASCII characters after A-Z are lower-cased. n_base counts all places of
     BASE_PHRASES; first_word and last_word are the smallest and largest start, else null. A template gives its label if a
     chain of matches of at least `least` words, at most `gap` words apart, covers at least `share` of its words; spans lists
-    these. score is 1 if there is a base phrase, else the largest covered share of a listed span (0 if none). Null and empty
+    these, each copy of a template its own. score is 1 if there is a base phrase, else the largest covered share of a listed span (0 if none). Null and empty
     texts have no words; labels are then empty strings. Repeated rows and null ids each give a row. One narrow pass.
     """
 
