@@ -3,29 +3,37 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import NULL_ID, blocks, byte_values, fresh, keyed, materialize, text_hash, word_hashes
+from .shared import NULL_ID, blocks, byte_values, discard, fresh, keyed, materialize, text_hash, word_hashes
 
 #: Fixed value: factor that joins the hashes of two neighbouring words.
 FACTOR = np.uint64(0x9E3779B97F4A7C15)
 #: Labelled rows that fit the model at most, chosen by a hash of the id; half name the target text, half set the cut.
 LABELLED = 20_000
-BUCKETS = 1 << 15
-
-
+#: Buckets for each square root of a byte of text, and how many of them one pass over the texts holds.
+DENSITY, SLICE = 16, 1 << 22
 #: Expected occurrences that a bucket must have before its ratio is believed by half.
 PRIOR = 10.0
+#: Rows among which the last one of a sample is looked up by sorting.
+FEW = 10_000
 #: Class of each byte: white space, lower case, upper case, digit, other ASCII, part of a non-ASCII character.
 CLASS = np.array([0 if b in b" \t\n\r\x0b\x0c" else 1 if 97 <= b <= 122 else 2 if 65 <= b <= 90 else 3 if 48 <= b <= 57 else 4 if b < 128 else 5 for b in range(256)], np.uint64)
 
 
-def features(text: bytes, buckets: int) -> np.ndarray:
-    """Buckets of a text's n-grams: its words as they stand, their shapes, and pairs of neighbouring shapes with whether the word is repeated.
+def bucket_count(docs: DataFrame) -> int:
+    """Buckets for the n-grams of docs, a power of two: as the vocabulary of a corpus does, they grow with the root of its size."""
+    size = docs.agg(F.coalesce(F.sum(F.octet_length(F.col("text").cast("string"))), F.lit(0))).first()[0]
+    return 1 << max(15, int(np.ceil(np.log2(max(1.0, DENSITY * size**0.5)))))
+
+
+def features(text: bytes, buckets: int, shapes: bool = True) -> np.ndarray:
+    """Buckets of a text's n-grams: its words and pairs of neighbouring words as they stand; with shapes also the words' shapes, and pairs of these with whether the word is repeated.
 
     A shape is the class of the first two bytes and the last byte, so that it says how words are cased, marked and ended
     whatever the vocabulary.
@@ -33,15 +41,17 @@ def features(text: bytes, buckets: int) -> np.ndarray:
     h = word_hashes(text.split())
     if not len(h):
         return np.empty(0, np.int64)
-    data = np.frombuffer(text, np.uint8)
-    inside = np.concatenate([[False], CLASS[data] > 0, [False]])
-    starts, ends = np.flatnonzero(inside[1:] & ~inside[:-1]), np.flatnonzero(inside[:-1] & ~inside[1:])
-    first, second, last = data[starts], data[np.minimum(starts + 1, ends - 1)], data[ends - 1]
-    shape = ((CLASS[first] * np.uint64(8) + CLASS[second]) * np.uint64(256) + last + np.uint64(1)) * FACTOR
-    pairs = (shape[:-1] * FACTOR + shape[1:] + (h[:-1] == h[1:])) * FACTOR
-    both = np.concatenate([h, shape, pairs])
-    both ^= both >> np.uint64(33)
-    return (both % np.uint64(buckets)).astype(np.int64)
+    found = [h, (h[:-1] ^ (h[1:] >> np.uint64(7))) * FACTOR + h[1:]]
+    if shapes:
+        data = np.frombuffer(text, np.uint8)
+        inside = np.concatenate([[False], CLASS[data] > 0, [False]])
+        starts, ends = np.flatnonzero(inside[1:] & ~inside[:-1]), np.flatnonzero(inside[:-1] & ~inside[1:])
+        first, second, last = data[starts], data[np.minimum(starts + 1, ends - 1)], data[ends - 1]
+        shape = ((CLASS[first] * np.uint64(8) + CLASS[second]) * np.uint64(256) + last + np.uint64(1)) * FACTOR
+        found += [shape, (shape[:-1] * FACTOR + shape[1:] + (h[:-1] == h[1:])) * FACTOR]
+    every = np.concatenate(found)
+    every ^= every >> np.uint64(33)
+    return (every % np.uint64(buckets)).astype(np.int64)
 
 
 def labelled_sample(labels: DataFrame, most: int) -> tuple[dict[int, int], dict[int, int]]:
@@ -51,57 +61,81 @@ def labelled_sample(labels: DataFrame, most: int) -> tuple[dict[int, int], dict[
     return {r.doc_id: r.q for r in rows[::2]}, {r.doc_id: r.q for r in rows[1::2]}
 
 
-def ngram_counts(docs: DataFrame, target: set[int], buckets: int) -> tuple[np.ndarray, np.ndarray]:
-    """Counts per bucket over all of docs, and over those of the target rows: each partition adds up its own first."""
+def slices(buckets: int) -> list[tuple[int, int]]:
+    return [(lo, min(buckets, lo + SLICE)) for lo in range(0, buckets, SLICE)]
+
+
+def ngram_counts(docs: DataFrame, target: set[int], buckets: int, shapes: bool = True) -> DataFrame:
+    """(bucket, raw, own): counts over all of docs, and over those of the target rows. Each task adds up its own first, a slice of the buckets at a time."""
     ids = docs.sparkSession.sparkContext.broadcast(target)
 
-    def mapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        raw, own = np.zeros(buckets, np.int64), np.zeros(buckets, np.int64)
-        for batch in blocks(batches, "text", 4_000_000):
-            for dk, text in zip(batch.column("dk").to_pylist(), byte_values(batch.column("text")), strict=True):
-                f = np.bincount(features(text, buckets), minlength=buckets) if len(text) > 60_000 else features(text, buckets)
-                if len(text) > 60_000:
-                    raw += f
-                    own += f * (dk in ids.value)
-                else:
-                    np.add.at(raw, f, 1)
-                    if dk in ids.value:
-                        np.add.at(own, f, 1)
-        some = np.flatnonzero(raw)
-        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(raw[some]), pa.array(own[some])], ["bucket", "raw", "own"])
-
-    counts = keyed(docs).mapInArrow(mapped, "bucket long, raw long, own long")
-    table = counts.groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("own").alias("own")).collect()  # at most `buckets` rows
-    raw, own = np.zeros(buckets), np.zeros(buckets)
-    for r in table:
-        raw[r.bucket], own[r.bucket] = r.raw, r.own
-    return raw, own
-
-
-def log_ratio(raw: np.ndarray, own: np.ndarray) -> np.ndarray:
-    """log p_target / p_raw per bucket; buckets that the target text would rarely use are drawn towards equality."""
-    expected = raw / max(1.0, raw.sum()) * own.sum()
-    return np.log((own + PRIOR) / (expected + PRIOR))
-
-
-def scores(docs: DataFrame, ratio: np.ndarray) -> DataFrame:
-    """(dk, th, n, weight): n-grams of each row of docs, and the sum of their log ratios."""
-    shared = docs.sparkSession.sparkContext.broadcast(ratio)
-
-    def mapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ratio = shared.value
-        for batch in blocks(batches, "text", 4_000_000):
-            found = [features(t, len(ratio)) for t in byte_values(batch.column("text"))]
-            weights = [float(ratio[f].sum()) for f in found]
-            yield pa.RecordBatch.from_arrays([batch.column("dk"), batch.column("th"), pa.array(map(len, found), pa.int64()), pa.array(weights)], ["dk", "th", "n", "weight"])
-
-    return keyed(docs, hashed=True).mapInArrow(mapped, "dk long, th long, n long, weight double")
+    def counter(lo: int, hi: int):
+        def mapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            raw, own = np.zeros(hi - lo, np.int64), np.zeros(hi - lo, np.int64)
+
+            def add(to: np.ndarray, found: list[np.ndarray]) -> None:
+                f = np.concatenate([np.empty(0, np.int64), *found])
+                np.add(to, np.bincount(f[(f >= lo) & (f < hi)] - lo, minlength=hi - lo), out=to)
+
+            for batch in blocks(batches, "text", 1_000_000):
+                found = [features(t, buckets, shapes) for t in byte_values(batch.column("text"))]
+                add(raw, found)
+                if mine := [f for f, dk in zip(found, batch.column("dk").to_pylist(), strict=True) if dk in ids.value]:
+                    add(own, mine)
+            some = np.flatnonzero(raw)
+            for at in range(0, len(some), 100_000):
+                part = some[at : at + 100_000]
+                yield pa.RecordBatch.from_arrays([pa.array(part + lo), pa.array(raw[part]), pa.array(own[part])], ["bucket", "raw", "own"])
+
+        return mapped
+
+    passes = [keyed(docs).mapInArrow(counter(lo, hi), "bucket long, raw long, own long") for lo, hi in slices(buckets)]
+    return reduce(DataFrame.unionByName, passes).groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("own").alias("own"))
+
+
+def log_ratio(raw: np.ndarray, own: np.ndarray, share: float) -> np.ndarray:
+    """log p_target / p_raw per bucket, share being the target's part of all n-grams; buckets that the target text would rarely use are drawn towards equality."""
+    return np.log((own + PRIOR) / (raw * share + PRIOR))
+
+
+def scores(docs: DataFrame, counts: DataFrame, buckets: int, shapes: bool = True) -> DataFrame:
+    """(dk, th, n, weight): n-grams of each row of docs, and the sum of their log ratios, for counts (bucket, raw, own)."""
+    spark = docs.sparkSession
+    total = counts.agg(F.coalesce(F.sum("raw"), F.lit(0)).alias("raw"), F.coalesce(F.sum("own"), F.lit(0)).alias("own")).first()
+    share = total.own / max(1, total.raw)
+
+    def scorer(lo: int, hi: int):
+        table = counts.where((F.col("bucket") >= lo) & (F.col("bucket") < hi)).toArrow()  # at most SLICE rows
+        ratio = np.zeros(hi - lo, np.float32)
+        if total.own:
+            at = table["bucket"].to_numpy() - lo
+            ratio[at] = log_ratio(table["raw"].to_numpy(), table["own"].to_numpy(), share)
+        shared = spark.sparkContext.broadcast(ratio)
+
+        def mapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            ratio = shared.value
+            for batch in blocks(batches, "text", 1_000_000):
+                found = [features(t, buckets, shapes) for t in byte_values(batch.column("text"))]
+                found = [f[(f >= lo) & (f < hi)] - lo for f in found]
+                weights = [float(ratio[f].sum(dtype=np.float64)) for f in found]
+                yield pa.RecordBatch.from_arrays([batch.column("dk"), batch.column("th"), pa.array(map(len, found), pa.int64()), pa.array(weights)], ["dk", "th", "n", "weight"])
+
+        return mapped
+
+    parts = slices(buckets)
+    passes = [keyed(docs, hashed=True).mapInArrow(scorer(lo, hi), "dk long, th long, n long, weight double") for lo, hi in parts]
+    if len(parts) == 1:
+        return passes[0]
+    copies = (F.count("*") / len(parts)).cast("int")  # of rows that repeat id and text
+    summed = reduce(DataFrame.unionByName, passes).groupBy("dk", "th").agg((F.sum("n") / copies).cast("long").alias("n"), (F.sum("weight") / copies).alias("weight"), copies.alias("copies"))
+    return summed.select("dk", "th", "n", "weight", F.explode(F.sequence(F.lit(1), "copies"))).drop("col")
 
 
 def best_cut(scored: DataFrame, cutting: dict[int, int]) -> float:
-    """The weight below which labelled rows of the cutting half are rejected: the one with the fewest errors, rejecting little in a tie."""
+    """The weight below which labelled rows of the cutting half are rejected: the one with the fewest errors, rejecting little in a tie. Of rows that share an id the one with the smallest hash counts."""
     shared = scored.sparkSession.createDataFrame([*cutting.items()] or [(0, 0)], "id long, q int")
-    rows = scored.where("n > 0").join(F.broadcast(shared), F.col("dk") == F.col("id")).select("weight", "q").limit(2 * LABELLED).collect()
+    met = scored.where("n > 0").join(F.broadcast(shared), F.col("dk") == F.col("id"))
+    rows = met.groupBy("id").agg(F.min("q").alias("q"), F.min_by("weight", "th").alias("weight")).collect()  # one for each label at most
     good = np.sort([r.weight for r in rows if r.q == 1])
     bad = np.sort([r.weight for r in rows if r.q == 0])
     if not len(good) or not len(bad):
@@ -116,22 +150,26 @@ def best_cut(scored: DataFrame, cutting: dict[int, int]) -> float:
 def top_share(keys: DataFrame, k: int) -> tuple[int, int, int]:
     """The (key, dk, th) of the k-th row of keys (key, dk, th: longs) in descending order of key, ascending of dk and th.
 
-    Narrows the range that holds it by counting 4096 parts of it at a time; equal keys are told apart by dk, then th, likewise.
+    Narrows the range that holds it by counting 4096 parts of it at a time, until FEW rows are left that can be sorted; equal
+    keys are told apart by dk, then th, likewise.
     """
     bounds = []
-    for column, sign in (("key", ""), ("dk", "-"), ("th", "-")):
-        value = f"(CAST({sign or '+'}CAST({column} AS DECIMAL(20,0)) AS DECIMAL(20,0)))"
-        lo, hi = -(2**63), 2**63 + 1  # the largest values count first
-        while hi - lo > 1:
-            step = -(-(hi - lo) // 4096)
-            inside = keys.where(f"{value} >= {lo}BD AND {value} < {hi}BD")
+    for column, sign in (("key", -1), ("dk", 1), ("th", 1)):
+        value = f"(CAST({'-' if sign < 0 else '+'}CAST({column} AS DECIMAL(20,0)) AS DECIMAL(20,0)))"
+        lo, hi = sorted(sign * x for x in keys.agg(F.min(column), F.max(column)).first())
+        while lo < hi:
+            step = -(-(hi - lo + 1) // 4096)
+            inside = keys.where(f"{value} >= {lo}BD AND {value} <= {hi}BD")
             counts = dict(inside.groupBy(F.expr(f"CAST(({value} - ({lo}BD)) DIV {step}BD AS INT)").alias("p")).count().collect())
-            for p in sorted(counts, reverse=True):
+            for p in sorted(counts):
                 if counts[p] >= k:
                     break
                 k -= counts[p]
-            lo, hi = lo + p * step, min(hi, lo + (p + 1) * step)
-        bounds.append(-lo if sign else lo)
+            lo, hi = lo + p * step, min(hi, lo + (p + 1) * step - 1)
+            if counts[p] <= FEW:
+                rows = keys.where(f"{value} >= {lo}BD AND {value} <= {hi}BD").select("key", "dk", "th").collect()
+                return tuple(sorted(rows, key=lambda r: (-r.key, r.dk, r.th))[k - 1])
+        bounds.append(sign * lo)
         keys = keys.where(F.expr(f"{column} = CAST({bounds[-1]}BD AS BIGINT)"))
     return tuple(bounds)
 
@@ -147,26 +185,27 @@ def gumbel(seed: int) -> Column:
     return -F.log(-F.log(u))
 
 
-def resample(docs: DataFrame, labels: DataFrame, k: int | None = None, seed: int = 8, buckets: int = BUCKETS, labelled: int = LABELLED) -> DataFrame:
+def resample(docs: DataFrame, labels: DataFrame, k: int | None = None, seed: int = 8, buckets: int | None = None, labelled: int = LABELLED, shapes: bool = True) -> DataFrame:
     """(dk, th, weight, key) of the k rows of docs (doc_id, text) that importance resampling draws, without replacement.
 
-    The target model counts hashed n-grams of labelled rows of quality 1, the raw model those of all of docs.
+    The target model counts hashed n-grams (words, pairs of words, and shapes of both unless turned off) of labelled rows of
+    quality 1, the raw model those of all of docs, in buckets whose number grows with docs unless it is given. Counts stay in a table of the shared folder; SLICE
+    buckets at a time go to the tasks.
     weight is the sum of the log ratios of a text's n-grams; key adds Gumbel noise, and the k largest keys stay, ties to the
     smaller doc_id, then text hash. Without k, it is the number of rows whose weight reaches the cut that separates
     labelled rows of quality 1 and 0 with the fewest errors, so the sample is as large as the text that looks like target
     text. Labels come from at most `labelled` rows, chosen by a hash of doc_id; those with a null id or quality count as
     unlabelled, of several for an id the lowest counts. With no labelled text of either quality, all rows stay.
 
-    Texts without words (null, empty) have weight 0 and stay if k reaches that far; without k they don't count, and stay only if all rows do. Rows that
-    repeat id and text have equal keys and stay or go together. Null ids rank before others. An empty table gives none.
+    Texts without words (null, empty) have weight 0 and stay if k reaches that far; without k they don't count, and stay only
+    if all rows do. Rows that repeat id and text have equal keys and stay or go together. Null ids rank before others; they
+    and the id -2**63 are the same. An empty table gives none.
     """
     fitting, cutting = labelled_sample(labels, labelled)
-    raw, own = ngram_counts(docs, {d for d, q in fitting.items() if q == 1}, buckets)
-    if own.sum() == 0:
-        ratio = np.zeros(buckets)
-    else:
-        ratio = log_ratio(raw, own)
-    scored = materialize(scores(docs, ratio), "scores")
+    buckets = buckets or bucket_count(docs)
+    counts = materialize(ngram_counts(docs, {d for d, q in fitting.items() if q == 1}, buckets, shapes), "ngrams")
+    scored = materialize(scores(docs, counts, buckets, shapes), "scores")
+    discard(counts)
     keyed_rows = scored.select("dk", "th", "n", "weight", (order_key(F.col("weight") + gumbel(seed))).alias("key"))
     cut = best_cut(scored, cutting)
     total, fit = scored.agg(F.count("*"), F.count_if((F.col("n") > 0) & (F.col("weight") >= F.lit(cut)))).first()
