@@ -16,34 +16,35 @@ def varying(cells: DataFrame) -> DataFrame:
     return cells.groupBy("feature").agg(F.count("value").alias("n"), (F.max("value") - F.min("value")).alias("range")).where("n > 1 and range > 0").select("feature")
 
 
-def places(values: DataFrame, by: list[str], column: str, parts: int = 100) -> DataFrame:
-    """(by, column, same, below): each distinct value with its rows and the rows of its group that are smaller.
+def counted(values: DataFrame, by: list[str], column: str) -> DataFrame:
+    """(by, column, same): how many rows have each value; nulls don't count."""
+    return values.where(F.col(column).isNotNull()).groupBy(*by, column).agg(F.count("*").alias("same"))
 
-    Counts of distinct values are summed up in two levels, by ranges that a sketch of the group's quantiles gives: a large
-    group is many tasks, and none holds more than about a hundredth of its values.
+
+def places(counts: DataFrame, by: list[str], column: str, parts: int = 100) -> DataFrame:
+    """(by, column, same, below, total): for each value of counted() the rows of its group that are smaller, and all of them.
+
+    Counts are summed up in two levels, by ranges that a sketch of the group's values gives: a large group is many tasks, and
+    none holds more than about a hundredth of its values.
     """
-    known = values.where(F.col(column).isNotNull())
-    edges = known.groupBy(*by).agg(F.percentile_approx(column, F.array(*(F.lit(i / parts) for i in range(1, parts))), F.lit(10 * parts)).alias("edges"))
-    counts = known.groupBy(*by, column).agg(F.count("*").alias("same")).join(edges, by)
-    counts = counts.withColumn("part", F.size(F.filter("edges", lambda e: e < F.col(column)))).drop("edges")
-    sums = counts.groupBy(*by, "part").agg(F.sum("same").alias("all"))
-    sums = sums.withColumn("before", F.sum("all").over(Window.partitionBy(*by).orderBy("part")) - F.col("all")).drop("all")
+    edges = counts.groupBy(*by).agg(F.percentile_approx(column, F.array(*(F.lit(i / parts) for i in range(1, parts))), F.lit(10 * parts)).alias("edges"))
+    dealt = counts.join(edges, by).withColumn("part", F.size(F.filter("edges", lambda e: e < F.col(column)))).drop("edges")
+    group = Window.partitionBy(*by)
+    sums = dealt.groupBy(*by, "part").agg(F.sum("same").alias("all"))
+    sums = sums.withColumns({"before": F.sum("all").over(group.orderBy("part")) - F.col("all"), "total": F.sum("all").over(group)}).drop("all")
     inside = F.sum("same").over(Window.partitionBy(*by, "part").orderBy(column)) - F.col("same")
-    return counts.withColumn("inside", inside).join(sums, [*by, "part"]).select(*by, column, "same", (F.col("before") + F.col("inside")).alias("below"))
+    return dealt.withColumn("inside", inside).join(sums, [*by, "part"]).select(*by, column, "same", (F.col("before") + F.col("inside")).alias("below"), "total")
 
 
-def quantiles(values: DataFrame, by: list[str], column: str, **shares: float) -> DataFrame:
-    """(by, a column for each share): exact quantiles with linear interpolation between neighbours."""
-    placed = places(values, by, column)
-    n = placed.groupBy(*by).agg(F.sum("same").alias("n"))
-    met = placed.join(n, by)
+def quantiles(counts: DataFrame, by: list[str], column: str, **shares: float) -> DataFrame:
+    """(by, a column for each share): exact quantiles of counted() values, with linear interpolation between neighbours."""
     at = lambda i: F.min(F.when(F.col("below") + F.col("same") > i, F.col(column)))
     out = []
     for name, share in shares.items():
-        place = (F.col("n") - 1) * F.lit(share)
+        place = (F.col("total") - 1) * F.lit(share)
         low, high = at(F.floor(place)), at(F.ceil(place))
-        out.append((low + (high - low) * F.first(place - F.floor(place))).alias(name))
-    return met.groupBy(*by).agg(*out)
+        out.append((low + (high - low) * F.max(place - F.floor(place))).alias(name))
+    return places(counts, by, column).groupBy(*by).agg(*out)
 
 
 def histogram(cells: DataFrame, alpha: float = 1.0) -> DataFrame:
@@ -52,7 +53,7 @@ def histogram(cells: DataFrame, alpha: float = 1.0) -> DataFrame:
     Constant features have no row. densities is a map from bin to density.
     """
     stats = cells.where("value is not null").groupBy("feature").agg(F.min("value").alias("low"), F.max("value").alias("high"), F.count("*").alias("n"))
-    stats = stats.join(quantiles(cells, ["feature"], "value", q1=0.25, q3=0.75), "feature")
+    stats = stats.join(quantiles(counted(cells, ["feature"], "value"), ["feature"], "value", q1=0.25, q3=0.75), "feature")
     width = 2 * (F.col("q3") - F.col("q1")) / F.cbrt("n")
     fits = F.when(width > 0, F.greatest(F.lit(2), F.least(F.lit(MAX_BINS), F.ceil((F.col("high") - F.col("low")) / width).cast("int")))).otherwise(2)
     edges = stats.where("high > low").withColumn("bins", fits)
@@ -70,7 +71,7 @@ def bin_of(value: Column) -> Column:
 
 def contributions(cells: DataFrame, fitted: DataFrame) -> DataFrame:
     """(id, feature, part): -ln of a value's density; bins without a value and values outside have the smoothed minimum, null values zero."""
-    met = cells.join(F.broadcast(fitted), "feature")
+    met = cells.join(fitted, "feature")
     outside = (F.col("value") < F.col("low")) | (F.col("value") > F.col("high"))
     density = F.when(outside, F.col("outside")).otherwise(F.coalesce(F.try_element_at("densities", bin_of(F.col("value"))), F.col("outside")))
     return met.select("id", "feature", F.when(F.col("value").isNull(), 0.0).otherwise(-F.log(density)).alias("part"))
@@ -82,29 +83,28 @@ def scores(parts: DataFrame) -> DataFrame:
 
 def robust(values: DataFrame, column: str = "score") -> DataFrame:
     """One row (median, mad): exact medians, the second times 1.4826."""
-    center = quantiles(values.withColumn("_all", F.lit(0)), ["_all"], column, median=0.5)
-    apart = values.select(F.lit(0).alias("_all"), F.col(column).alias("_v")).join(F.broadcast(center), "_all")  # one row
-    spread = quantiles(apart.withColumn("_off", F.abs(F.col("_v") - F.col("median"))), ["_all"], "_off", mad=0.5)
-    return center.join(spread, "_all").select("median", (F.col("mad") * 1.4826).alias("mad"))
+    counts = counted(values.withColumn("_all", F.lit(0)), ["_all"], column)
+    center = quantiles(counts, ["_all"], column, median=0.5)
+    apart = counts.join(center, "_all").groupBy("_all", "median", F.abs(F.col(column) - F.col("median")).alias("_off")).agg(F.sum("same").alias("same"))
+    return quantiles(apart, ["_all", "median"], "_off", mad=0.5).select("median", (F.col("mad") * 1.4826).alias("mad"))
 
 
 def standardized(values: DataFrame, scale: DataFrame, column: str = "score") -> DataFrame:
     """values with z: zero where the spread is none, so that a component without spread never speaks. scale has one row."""
-    met = values.withColumn("_all", F.lit(0)).join(F.broadcast(scale.withColumn("_all", F.lit(0))), "_all")
+    met = values.withColumn("_all", F.lit(0)).join(scale.withColumn("_all", F.lit(0)), "_all")
     z = F.when((F.col("mad") > 0) & ~F.isnan("mad"), (F.col(column) - F.col("median")) / F.col("mad")).otherwise(0.0)
     return met.select(*values.columns, z.alias("z"))
 
 
 def counted_below(values: DataFrame, by: str, column: str) -> DataFrame:
-    """values with below (rows with a smaller value) and same: counts of distinct values meet, not rows."""
-    return values.join(places(values, [by], column), [by, column])
+    """values with below (rows of the group with a smaller value), same (with an equal one) and total: counts of distinct values meet, not rows."""
+    return values.join(places(counted(values, [by], column), [by], column), [by, column])
 
 
 def quantile_higher(values: DataFrame, by: str, column: str, q: float) -> DataFrame:
     """(by, threshold): the value at index ceil(q (n - 1)) in ascending order, without interpolation."""
-    placed = places(values, [by], column)
-    need = placed.groupBy(by).agg(F.ceil((F.sum("same") - 1) * F.lit(q)).alias("need"))
-    return placed.join(need, by).where("below + same > need").groupBy(by).agg(F.min(column).alias("threshold"))
+    far = F.col("below") + F.col("same") > F.ceil((F.col("total") - 1) * F.lit(q))
+    return places(counted(values, [by], column), [by], column).where(far).groupBy(by).agg(F.min(column).alias("threshold"))
 
 
 def top_factors(parts: DataFrame, k: int = 3) -> DataFrame:

@@ -34,8 +34,9 @@ def parts(s, d):
 
 
 def scored(s, d):
+    """(id, score, label); kept, as the statistics of scores read them several times."""
     rows = anomaly.scores(parts(s, d)).withColumn("score", F.round("score", 6))
-    return rows.join(table(s, d, "embeddings").select(F.col("vec_id").alias("id"), "label"), "id")
+    return rows.join(table(s, d, "embeddings").select(F.col("vec_id").alias("id"), "label"), "id").persist()
 
 
 def agg_24(s, d):
@@ -57,17 +58,13 @@ def agg_23(s, d):
 
 
 def agg_27(s, d):
-    placed = anomaly.counted_below(scored(s, d), "label", "score")
-    n = scored(s, d).groupBy("label").agg(F.count("*").alias("n"))
-    share = 100 * (F.col("below") + 0.5 * F.col("same")) / F.col("n")
-    return placed.join(n, "label").select("id", F.round(share, 6).alias("percentile"))
+    share = 100 * (F.col("below") + 0.5 * F.col("same")) / F.col("total")
+    return anomaly.counted_below(scored(s, d), "label", "score").select("id", F.round(share, 6).alias("percentile"))
 
 
 def win_11(s, d):
     """Conservative ranks: how many of the capture score as high or higher."""
-    placed = anomaly.counted_below(scored(s, d), "label", "score")
-    n = scored(s, d).groupBy("label").agg(F.count("*").alias("n"))
-    return placed.join(n, "label").select("id", (F.col("n") - F.col("below")).alias("rank"))
+    return anomaly.counted_below(scored(s, d), "label", "score").select("id", (F.col("total") - F.col("below")).alias("rank"))
 
 
 def mth_06(s, d):
@@ -85,7 +82,7 @@ def mth_07(s, d):
 
 def agg_29(s, d):
     rows = scored(s, d)
-    middle = anomaly.quantiles(rows, ["label"], "score", median=0.5)
+    middle = anomaly.quantiles(anomaly.counted(rows, ["label"], "score"), ["label"], "score", median=0.5)
     return rows.groupBy("label").agg(F.max("score").alias("highest")).join(middle, "label").select("label", F.round("median", 4).alias("median"), "highest")
 
 

@@ -94,14 +94,15 @@ def offers(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("l_suppkey").alias("server"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("session"), offered.alias("offered"), new.alias("versions"), policy.alias("policy")
     )
     selected = F.when(F.col("policy") == 1, F.element_at("offered", 1)).when(F.array_contains("offered", SUITE_A), SUITE_A).otherwise(SUITE_B)
-    version = F.when(F.col("server") % 5 == 0, 0x0303).otherwise(F.array_max("versions"))
+    torn = (F.col("server") % 7 == 3) & (F.col("session") % 4 == 0)  # servers that don't always choose alike
+    version = F.when((F.col("server") % 5 == 0) | torn, 0x0303).otherwise(F.array_max("versions"))
     return rows.select("server", "session", "offered", selected.alias("selected"), "versions", version.alias("version"))
 
 
 OFFERS_SQL = f"""
     SELECT server, session, offered, versions,
            CASE WHEN policy = 1 THEN offered[1] WHEN list_contains(offered, {SUITE_A}) THEN {SUITE_A} ELSE {SUITE_B} END AS selected,
-           CASE WHEN server % 5 = 0 THEN {0x0303} ELSE list_max(versions) END AS version
+           CASE WHEN server % 5 = 0 OR (server % 7 = 3 AND session % 4 = 0) THEN {0x0303} ELSE list_max(versions) END AS version
     FROM (SELECT l_suppkey AS server, l_orderkey * 10 + l_linenumber AS session, l_suppkey % 3 AS policy,
                  CASE l_linenumber % 3 WHEN 0 THEN [{SUITE_A}, {SUITE_B}] WHEN 1 THEN [{SUITE_B}, {SUITE_A}] ELSE [{SUITE_B}] END AS offered,
                  CASE WHEN CAST(l_quantity AS INTEGER) % 2 = 1 THEN [{0x0303}, {0x0304}] ELSE [{0x0303}] END AS versions

@@ -48,15 +48,16 @@ def jon_23(s, d):
 
 
 def set_09(s, d):
-    """Keys that two splits have in common; none may be."""
-    keys = table(s, d, "orders").select("o_orderkey")
-    return keys.where("o_orderkey % 2 = 0").intersect(keys.where("o_orderkey % 2 = 1"))
+    """Customers that two splits of the orders have in common, though splits should keep customers apart."""
+    rows = table(s, d, "orders").select("o_custkey", "o_orderkey")
+    return rows.where("o_orderkey % 2 = 0").select("o_custkey").intersect(rows.where("o_orderkey % 2 = 1 AND o_custkey % 5 = 0").select("o_custkey"))
 
 
 def dom_18(s, d):
-    """Rows that differ between two reports once the optional columns are left out."""
+    """Rows that differ between two reports once the optional column is left out: the second one has other names for some."""
     one = table(s, d, "nation").withColumn("ml", F.lit(1))
-    two = table(s, d, "nation").withColumn("ml", F.lit(None).cast("int"))
+    other = F.when(F.col("n_nationkey") % 7 == 0, F.concat("n_name", F.lit("?"))).otherwise(F.col("n_name"))
+    two = table(s, d, "nation").withColumns({"n_name": other, "ml": F.lit(None).cast("int")})
     a, b = one.drop("ml"), two.drop("ml")
     return a.exceptAll(b).unionByName(b.exceptAll(a))
 
@@ -77,7 +78,7 @@ ACTUAL = "SELECT o_orderkey AS id, CASE WHEN o_orderkey % 17 = 0 THEN 'changed'
 ORACLES = {
     "agg_30": f"""{T}, n AS (SELECT (SELECT count(*) FROM (SELECT k FROM t INTERSECT ALL SELECT k FROM f)) AS tp, (SELECT count(*) FROM f) AS nf, (SELECT count(*) FROM t) AS nt)
         SELECT tp, nf - tp AS fp, nt - tp AS fn, round(tp / nf, 9) AS precision, round(tp / nt, 9) AS recall FROM n""",
-    "dom_18": "SELECT n_nationkey, n_name, n_regionkey FROM nation WHERE false",
+    "dom_18": "SELECT n_nationkey, n_name || x AS n_name, n_regionkey FROM nation, (VALUES (''), ('?')) v(x) WHERE n_nationkey % 7 = 0",
     "jon_21": "SELECT o_orderkey FROM orders WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey AND l_quantity > 45)",
     "jon_22": f"""WITH a AS ({ACTUAL}), e AS (SELECT o_orderkey AS id, CASE WHEN o_orderkey % 19 <> 0 THEN o_orderstatus END AS want FROM orders)
         SELECT CASE WHEN a.id IS NULL THEN 'missing' WHEN want IS NOT DISTINCT FROM status THEN 'equal' ELSE 'different' END AS verdict, count(*) AS n FROM e LEFT JOIN a USING (id) GROUP BY ALL""",
@@ -85,7 +86,7 @@ ORACLES = {
         SELECT CASE WHEN a.status IS NULL THEN 'only_b' WHEN b.status IS NULL THEN 'only_a' WHEN a.status = b.status THEN 'agree' ELSE 'differ' END AS side, count(*) AS n FROM a FULL JOIN b USING (id) GROUP BY ALL""",
     "set_05": f"{T} SELECT k FROM t INTERSECT ALL SELECT k FROM f",
     "set_06": f"{T} SELECT k FROM f EXCEPT ALL SELECT k FROM t",
-    "set_09": "SELECT o_orderkey FROM orders WHERE o_orderkey % 2 = 0 AND o_orderkey % 2 = 1",
+    "set_09": "SELECT o_custkey FROM orders WHERE o_custkey % 5 = 0 GROUP BY o_custkey HAVING count(DISTINCT o_orderkey % 2) = 2",
     "src_11": "SELECT DISTINCT sha256(coalesce(text, '')) AS sha FROM documents",
     "src_15": "SELECT page_id, sha256(coalesce(html, '')) AS sha FROM pages",
 }

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import tls
-from ..operators import flows, verdicts
+from ..operators import analysis, flows, verdicts
 from ..sources import captures
 from .bridge import table
 from .text import SAMPLES, _SQL_SAMPLES
@@ -23,8 +23,8 @@ def sent_pieces(s, d):
     return each.withColumn("hex", F.substring("hex", F.col("n") * PIECE + 1, F.lit(PIECE)))
 
 
-def as_captures(s, d):
-    """(capture, content): each conversation as a pcap file of raw IPv4; port 25 serves, bytes of a side count on from 1."""
+def as_captures(s, d, kind="pcap"):
+    """(capture, content): each conversation as a pcap or pcapng file of raw IPv4; port 25 serves, bytes of a side count on from 1."""
     from pyspark.sql import Window
 
     order = ("turn", "role", "n", "hex")
@@ -37,19 +37,25 @@ def as_captures(s, d):
     ip = F.concat(F.lit("4500"), h(F.col("size") + 40, 4), F.lit("0000000040060000"), ends(client, F.lit("C0A80001")))
     packet = F.concat(ip, ends(port, F.lit("0019")), h(F.col("seq"), 8), F.lit("00000000501000000000" + "0000"), "hex")
     size = h(F.col("size") + 40, 8)
-    record = F.concat(h(F.col("turn"), 8), F.lit("00000000"), size, size, packet)
+    if kind == "pcap":
+        head = "A1B2C3D400020004" + "00" * 8 + "0000FFFF" + "00000065"
+        record = F.concat(h(F.col("turn"), 8), F.lit("00000000"), size, size, packet)
+    else:  # a section and one interface; times in microseconds, data padded to four bytes
+        head = "0A0D0D0A0000001C1A2B3C4D00010000" + "FF" * 8 + "0000001C" + "00000001000000140065" + "0000" + "0000FFFF" + "00000014"
+        whole = h(32 + F.ceil((F.col("size") + 40) / 4) * 4, 8)
+        data = F.concat(packet, F.repeat(F.lit("00"), F.pmod(-F.col("size"), F.lit(4)).cast("int")))
+        record = F.concat(F.lit("00000006"), whole, F.lit("00000000"), h(F.col("turn") * 1_000_000, 16), size, size, data, whole)
     gathered = rows.select("conv", F.struct(*order, record.alias("record")).alias("r")).groupBy("conv").agg(F.array_sort(F.collect_list("r")).alias("all"))
-    head = F.lit("A1B2C3D400020004" + "00" * 8 + "0000FFFF" + "00000065")
-    content = F.unhex(F.concat(head, F.array_join(F.transform("all", lambda r: r["record"]), "")))
+    content = F.unhex(F.concat(F.lit(head), F.array_join(F.transform("all", lambda r: r["record"]), "")))
     return gathered.select(F.col("conv").cast("string").alias("capture"), content.alias("content"))
 
 
-def read_back(s, d):
-    return captures.segments(captures.frames(as_captures(s, d)))
+def read_back(s, d, kind="pcap"):
+    return captures.segments(captures.frames(as_captures(s, d, kind)))
 
 
-def src_02(s, d):
-    rows = read_back(s, d)
+def src_02(s, d, kind="pcap"):
+    rows = read_back(s, d, kind)
     return rows.select(F.col("capture").cast("long").alias("conv"), "frame", F.col("ts").cast("long").alias("turn"), F.octet_length("payload").cast("long").alias("size"), "payload_off", F.lower(F.hex("payload")).alias("payload"))
 
 
@@ -68,7 +74,13 @@ def win_05(s, d):
     return rows.select(F.col("capture").cast("long").alias("conv"), "generation", "first_frame", "last_frame", "segments", "bytes", "midstream", "stream")
 
 
-def bin_02(s, d):
+def analysis_sessions(s, d):
+    """The whole way from captures to scored sessions; conversations hold no mail, so it is the port that keeps them."""
+    rows = analysis.analyse(as_captures(s, d)).sessions
+    return rows.select(F.col("capture").cast("long").alias("conv"), "protocol", "protocol_tier", "verdict", "auth_cleartext", "cert_status", "observed_risk", "risk_band")
+
+
+def flow_segments(s, d):
     """Flows to segments of one direction: sequence numbers run on without a hole."""
     rows = flows.stream_segments(flows.generations(read_back(s, d)))
     return rows.groupBy(F.col("capture").cast("long").alias("conv"), "dir").agg(F.count("*").alias("segments"), F.min("seq").alias("first_seq"), F.max(F.col("seq") + F.length("hex") / 2).cast("long").alias("next_seq"))
@@ -218,12 +230,15 @@ _R = {r: f"CASE WHEN delta >= 2 THEN 'critical' ELSE '{s}' END" if r == "TLS-VER
 _MET = ("version IN ('SSL3.0', 'TLS1.0', 'TLS1.1')", "delta >= 2", "cbc", "version <> 'TLS1.3' AND fs = 'NO'", "status = 'INVALID' AND expired", "status = 'INVALID' AND self_signed", "key_strength = 'INVALID'", "hybrid")
 _SIGNAL_MET = ("downgrade_anomaly", "downgrade_legacy_client", "session % 53 = 0", "fs = 'NO'", "early_data_offered", "ech_offered", "ocsp = 'requested_not_provided'")
 
-QUERIES = {"src_02": src_02, "src_05": src_05, "win_05": win_05, "bin_02": bin_02, "dom_01": dom_01, "dom_04": dom_04, "dom_06": dom_06, "dom_07": dom_07, "dom_08": dom_08}
+QUERIES = {"src_02": src_02, "src_03": lambda s, d: src_02(s, d, "pcapng"), "analysis_sessions": analysis_sessions, "src_05": src_05, "win_05": win_05, "flow_segments": flow_segments, "dom_01": dom_01, "dom_04": dom_04, "dom_06": dom_06, "dom_07": dom_07, "dom_08": dom_08}
 ORACLES = {
+    "analysis_sessions": """SELECT DISTINCT conv_id AS conv, 'unknown' AS protocol, 'NOT_OBSERVABLE' AS protocol_tier, 'not_used' AS verdict, false AS auth_cleartext, 'NOT_OBSERVABLE' AS cert_status,
+        CAST(0 AS INTEGER) AS observed_risk, 'low' AS risk_band FROM conversations WHERE conv_id IS NOT NULL""",
     "src_02": f"{PIECES} SELECT conv, frame, turn, size, CAST(40 AS INTEGER) AS payload_off, lower(hex) AS payload FROM f",
+    "src_03": f"{PIECES} SELECT conv, frame, turn, size, CAST(40 AS INTEGER) AS payload_off, lower(hex) AS payload FROM f",
     "src_05": f"{PIECES} SELECT conv, count(*) AS frames, count(*) AS tcp_segments, count(*) AS ipv4, CAST(100 AS DOUBLE) AS frames_decoded_pct, 'complete' AS analysis_status FROM f GROUP BY conv",
     "win_05": f"{PIECES} SELECT conv, CAST(0 AS INTEGER) AS generation, min(frame) AS first_frame, max(frame) AS last_frame, count(*) AS segments, CAST(sum(size) AS BIGINT) AS bytes, true AS midstream, CAST(0 AS BIGINT) AS stream FROM f GROUP BY conv",
-    "bin_02": f"{PIECES} SELECT conv, CASE WHEN role = 'user' THEN 'c2s' ELSE 's2c' END AS dir, count(*) AS segments, CAST(1 AS BIGINT) AS first_seq, CAST(1 + sum(size) AS BIGINT) AS next_seq FROM f GROUP BY conv, role = 'user'",
+    "flow_segments": f"{PIECES} SELECT conv, CASE WHEN role = 'user' THEN 'c2s' ELSE 's2c' END AS dir, count(*) AS segments, CAST(1 AS BIGINT) AS first_seq, CAST(1 + sum(size) AS BIGINT) AS next_seq FROM f GROUP BY conv, role = 'user'",
     "dom_01": DOM_01,
     "dom_04": f"{SIGNALS} SELECT * FROM g",
     "dom_06": f"""{N} SELECT session, status, nullif(concat_ws('; ', CASE WHEN expired THEN 'expired at capture time' END, CASE WHEN self_signed THEN 'self-signed' END, weak,
