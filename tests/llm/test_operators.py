@@ -5,11 +5,13 @@ from __future__ import annotations
 import base64
 import hashlib
 import random
+import re
 from collections import Counter
 
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from wirepost.llm import bpe, components, decontaminate, licenses, lines, quality, simhash, substrings, suffixes, topk, warc
 
@@ -160,7 +162,7 @@ def test_warc_round_trip(spark, tmp_path):
 
 
 def test_warc_finds_missing_segments(spark):
-    record = lambda n, total, block: ("o", n, total, "response", None, "sha1:x", bytearray(block))
+    record = lambda n, total, block: ("o", n, total, "response", None, "sha1:x", bytearray(block), None)
     good = spark.createDataFrame([record(2, 5, b"de"), record(1, None, b"abc")], warc.PARTS)
     assert bytes(warc.reassembled(good).first().block) == b"abcde"
     for bad in ([record(1, None, b"abc")], [record(1, None, b"abc"), record(2, 9, b"de")], [record(1, None, b"a"), record(3, 2, b"b")]):
@@ -279,6 +281,56 @@ def test_licenses(docs, rows, empty):
     assert licenses.scan_licenses(empty).count() == 0
 
 
+def test_license_base_columns_as_brute_force(spark, docs, rows):
+    rng = random.Random(15)
+    bits = ["MIT", "License", "apache", "general", "public", "license", "the", "ünï", "-", "a1"]
+    extra = [(500 + i, rng.choice([" ", ".", "\n"]).join(rng.choice(bits) for _ in range(rng.randrange(30)))) for i in range(200)]
+    want = Counter()
+    for doc, text in [(r[0], r[1]) for r in rows] + extra:
+        ws = re.findall(rb"[^\x00-\x2f\x3a-\x60\x7b-\x7f]+", (text or "").encode().lower())
+        places = [(i, label) for phrase, label in licenses.BASE_PHRASES.items() for i in range(len(ws)) if ws[i : i + len(phrase.split())] == phrase.encode().split()]
+        starts = [i for i, _ in places]
+        want[doc, len(ws), len(places), min(starts, default=None), max(starts, default=None), ",".join(sorted({x for _, x in places}))] += 1
+    every = docs.select("doc_id", "text").unionByName(spark.createDataFrame(extra, "doc_id long, text string"))
+    got = licenses.scan_licenses(every)
+    assert collected(got.select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels")) == want
+    assert sum(k[2] for k in want) > 50
+    for r in got.collect():
+        assert set(r.base_labels.split(",")) <= set(r.labels.split(",")) and 0 <= r.score <= 1
+
+
+def test_chain_as_brute_force():
+    rng = random.Random(14)
+    for _ in range(400):
+        gap, pieces = rng.randrange(1, 6), set()
+        for _ in range(rng.randrange(1, 9)):
+            s, n, ts = rng.randrange(30), rng.randrange(3, 7), rng.randrange(12)
+            pieces.add((s, s + n, ts, ts + n))
+        chain, order = licenses.Chain(gap, 18), sorted(pieces, key=lambda x: (x[1], x[0]))
+        for p in order:
+            chain.add(p)
+        best, chains = 0, []
+        for s, e, ts, te in order:
+            grown = [(te - ts, e, te)]
+            for covered, end, tend in chains:
+                cut = max(0, end - s, tend - ts)
+                if s - end <= gap and cut < e - s and end < e and tend < te:
+                    grown.append((covered + te - ts - cut, e, te))
+            chains += grown
+            best = max([best, *(x[0] for x in grown)])
+        assert chain.best[0] == best
+
+
+def test_each_copy_of_a_license_is_a_span(spark):
+    text = licenses.TEMPLATES["isc"][0]
+    n = len(licenses.words_of(text.encode()))
+    docs = spark.createDataFrame([(1, f"{text} {text} between these {text}"), (2, text), (2, text)], "doc_id long, text string")
+    rows = licenses.scan_licenses(docs).collect()
+    spans = {r.doc_id: [(s.label, s.start, s.end) for s in r.spans] for r in rows}
+    assert spans[1] == [("isc", 0, n), ("isc", n, 2 * n), ("isc", 2 * n + 2, 3 * n + 2)] and spans[2] == [("isc", 0, n)]
+    assert len(rows) == 3
+
+
 def test_license_spans(spark):
     text = licenses.TEMPLATES["bsd"][0]
     cut = text.replace("with or without modification", "with or even without modification")
@@ -324,13 +376,70 @@ def test_quality_held_out(spark):
     assert quality.resample(docs.limit(0), labels).count() == 0
 
 
-def test_top_share(spark):
+@pytest.mark.parametrize("size", [1 << 22, 1 << 13])
+def test_quality_as_brute_force(spark, docs, rows, monkeypatch, size):
+    """Counts, ratios, weights and keys again, one n-gram at a time."""
+    monkeypatch.setattr(quality, "SLICE", size)
+    buckets, mask = 1 << 15, 2**64 - 1
+    kind = lambda b: 0 if b in b" \t\n\r\x0b\x0c" else 1 if 97 <= b <= 122 else 2 if 65 <= b <= 90 else 3 if 48 <= b <= 57 else 4 if b < 128 else 5
+
+    def grams(text):
+        ws, factor = (text or "").encode().split(), 0x9E3779B97F4A7C15
+        h = [xxhash.xxh64_intdigest(w) for w in ws]
+        out = h + [((a ^ (b >> 7)) * factor + b) & mask for a, b in zip(h, h[1:], strict=False)]
+        shape = [((kind(w[0]) * 8 + kind(w[min(1, len(w) - 1)])) * 256 + w[-1] + 1) * factor & mask for w in ws]
+        out += shape + [((shape[i] * factor + shape[i + 1] + (h[i] == h[i + 1])) * factor) & mask for i in range(len(ws) - 1)]
+        return [(x ^ (x >> 33)) % buckets for x in out]
+
+    target = {0, 2, 4, 36}
+    raw, own = Counter(), Counter()
+    for r in rows:
+        raw.update(grams(r[1]))
+        if r[0] in target:
+            own.update(grams(r[1]))
+    counts = quality.ngram_counts(docs, target, buckets)
+    assert {(r.bucket, r.raw, r.own) for r in counts.collect()} == {(b, n, own[b]) for b, n in raw.items()}
+    share = own.total() / raw.total()
+    ratio = {b: np.log((own[b] + 10) / (n * share + 10)) for b, n in raw.items()}
+    want = Counter((r[0] if r[0] is not None else -(2**63), len(grams(r[1])), round(sum(ratio[g] for g in grams(r[1])), 3)) for r in rows)
+    scored = quality.scores(docs, counts, buckets)
+    assert Counter((r.dk, r.n, round(r.weight, 3)) for r in scored.collect()) == want
+
+    drawn = scored.select("dk", "th", (quality.gumbel(8)).alias("g"), quality.order_key(F.col("weight") + quality.gumbel(8)).alias("key"), "weight").collect()
+    assert all(abs(r.key / 2**20 - r.weight - r.g) < 1e-5 for r in drawn)
+    labels = spark.createDataFrame([(i, 1) for i in target], "doc_id long, quality int")
+    fitting, _ = quality.labelled_sample(labels, quality.LABELLED)
+    assert len(fitting) == 2
+    mine = quality.resample(docs, labels, k=9, buckets=buckets)
+    again = quality.scores(docs, quality.ngram_counts(docs, set(fitting), buckets), buckets)
+    keys = [(r.key, r.dk, r.th) for r in again.select(quality.order_key(F.col("weight") + quality.gumbel(8)).alias("key"), "dk", "th").collect()]
+    last = sorted(keys, key=lambda r: (-r[0], *r[1:]))[8]
+    assert {(r.dk, r.th) for r in mine.collect()} == {(d, t) for k, d, t in keys if (-k, d, t) <= (-last[0], *last[1:])}
+
+
+def test_quality_buckets_grow(spark):
+    docs = lambda n: spark.range(n).select(F.col("id").alias("doc_id"), F.repeat(F.lit("some words "), 100_000).alias("text"))
+    assert quality.bucket_count(docs(0)) == 1 << 15
+    assert quality.bucket_count(docs(400)) == 1 << 19 == 2 * quality.bucket_count(docs(100))
+
+
+def test_ties_at_the_end_of_the_sample(spark):
+    docs = spark.createDataFrame([(i, "same words here") for i in range(40)] + [(7, "same words here")], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1), (2, 0)], "doc_id long, quality int")
+    order = [r.dk for r in quality.resample(docs, labels, k=41).orderBy(F.desc("key"), "dk").collect()]
+    for k in (1, 5, 40):
+        assert sorted(set(order[:k])) == sorted({r.dk for r in quality.resample(docs, labels, k=k).collect()})
+
+
+def test_top_share(spark, monkeypatch):
     rng = random.Random(6)
     rows = [(rng.choice([5, 5, 5, -3, 2**40, rng.getrandbits(30)]), rng.choice([-(2**63), 1, 2, 3]), rng.getrandbits(62)) for _ in range(200)]
     keys = spark.createDataFrame(rows, "key long, dk long, th long")
     order = sorted(rows, key=lambda r: (-r[0], r[1], r[2]))
-    for k in (1, 2, 57, 120, 199, 200):
-        assert quality.top_share(keys, k) == order[k - 1]
+    for few in (10_000, 20, 0):
+        monkeypatch.setattr(quality, "FEW", few)
+        for k in (1, 57, 120, 200):
+            assert quality.top_share(keys, k) == order[k - 1]
 
 
 def test_topk_as_brute_force(spark):
@@ -350,8 +459,17 @@ def test_topk_as_brute_force(spark):
     assert topk.top_k(q.limit(0), q.limit(0)).count() == 0
 
 
+def test_topk_keeps_large_components(spark):
+    rows = [(0, [0.0, 2e16]), (1, [1.0, 0.0]), (2, [2.0, -1 / 256]), (3, [0.5, 0.0]), (4, [3.0, 1e-9])]
+    q = topk.quantized(spark.createDataFrame(rows, "vec_id long, embedding array<double>"))
+    found = [tuple(r) for r in topk.top_k(q, q.where("vec_id = 0"), 3).orderBy("rank").collect()]
+    assert found == [(0, 1, 1, 0), (0, 2, 3, 0), (0, 3, 4, 0)]  # 2 scores less
+    with pytest.raises(Exception, match="too large"):
+        topk.quantized(spark.createDataFrame([(0, [1e308])], "vec_id long, embedding array<double>")).collect()
+
+
 def test_exact_products():
-    a = np.array([[2**31, -(2**20)], [1, 1]], np.int64)
+    a = np.array([[2**31, -(2**20)], [1, 1]], np.float64)
     assert topk.products(a, a).tolist() == [[2**62 + 2**40, 2**31 - 2**20], [2**31 - 2**20, 2]]
 
 

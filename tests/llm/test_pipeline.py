@@ -8,7 +8,7 @@ import pytest
 from compare import duck_rows, spark_rows
 
 import corpus_pipeline
-from wirepost.llm import queries, simhash
+from wirepost.llm import queries
 
 
 @pytest.mark.parametrize("name", sorted(queries.ORACLES))
@@ -19,6 +19,7 @@ def test_query_equals_its_sql(name, spark, sf_dir, duck):
 def test_pipeline_stages(spark, sf_dir):
     from tokenizers import Tokenizer
 
+    from test_nearcopies import brute_kept
     from test_operators import brute_contaminated
 
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
@@ -47,14 +48,8 @@ def test_pipeline_stages(spark, sf_dir):
     assert thin.columns == columns
     assert sorted((r.doc_id, r.text, r.n_chars) for r in thin.collect()) == want
 
-    prints = [(i, simhash.fingerprint(t.encode()) & (2**64 - 1), t) for i, t, _ in want]
-    root = {i: i for i, _, _ in prints}
-    for k, (i, p, _) in enumerate(prints):
-        for j, q, _ in prints[:k]:
-            if bin(p ^ q).count("1") <= 2 and root[i] != root[j]:
-                lo, hi = sorted((root[i], root[j]))
-                root = {x: lo if r == hi else r for x, r in root.items()}
-    stays = [(i, t) for i, _, t in prints if root[i] == i]
+    kept = set(brute_kept([(i, t) for i, t, _ in want], 0.8))
+    stays = [(i, t) for i, t, _ in want if i in kept]
     single = stages["near_dedup"](spark, thin, sf_dir).persist()
     assert sorted((r.doc_id, r.text) for r in single.collect()) == stays
 
@@ -70,3 +65,25 @@ def test_pipeline_stages(spark, sf_dir):
     tokens = {(i, len(x), sha(" ".join(map(str, x))), sha(library.decode(x, skip_special_tokens=False))) for i, x in ids_of.items()}
     assert {tuple(r) for r in stages["tokens"](spark, final, sf_dir).collect()} == tokens
     assert {tuple(r) for r in corpus_pipeline.run(spark, sf_dir).collect()} == tokens
+
+
+def odd_tables(spark, path, rows):
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, dk string, root string").write.parquet(f"{path}/documents.parquet")
+    spark.createDataFrame([(1, 1, 0), (None, 1, 0), (3, None, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{path}/labels.parquet")
+    spark.createDataFrame([(1, "alpha beta gamma delta epsilon zeta eta"), (None, None)], "item_id long, text string").write.parquet(f"{path}/benchmark.parquet")
+
+
+def test_pipeline_on_odd_rows(spark, tmp_path):
+    """Nulls in every column, repeated rows, texts without words, and columns with names that the operators use."""
+    long = " ".join(f"word{i}" for i in range(30_000))
+    rows = [(1, "one two three", "en", "s", 13, "x", "y"), (1, "one two three", "en", "s", 13, "x", "y"), (None, None, None, None, None, None, None), (2, "", None, None, 0, None, "z")]
+    rows += [(3, long, "en", "s", len(long), "x", "y"), (4, long + " more", "en", "s", 1, "x", "y"), (None, "is alpha beta gamma delta epsilon zeta eta", "en", "s", None, "x", "y")]
+    odd_tables(spark, tmp_path, rows)
+    got = [(r.doc_id, r.n_tokens) for r in corpus_pipeline.run(spark, str(tmp_path)).orderBy("doc_id").collect()]
+    assert [i for i, _ in got] == [1, 2, 3]
+    assert got[1][1] == 0 and got[2][1] > 30_000
+
+
+def test_pipeline_on_empty_tables(spark, tmp_path):
+    odd_tables(spark, tmp_path, [])
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
