@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from .repeats import (
     by_doc, columns_of, covered, distinct_texts, hashed_texts, ids_repeat, int_lists, marked, once_each, one_a_batch, own_columns, packed_texts, runs, scattered, small_batches, together, unpack, with_marks
 )
-from .shared import blocks, byte_values, doc_id, materialize, mix, window_hashes
+from .shared import blocks, byte_values, doc_id, materialize, mix, same_keys, window_hashes
 
 #: Fixed value: factor of the k-grams' polynomial hash.
 FACTOR = 0x9E3779B97F4A7C15
@@ -337,7 +337,7 @@ def later_places(docs: DataFrame, texts: DataFrame, length: int, tagged: bool) -
     copies = kept.where("copy").select(*own_columns(tagged), F.coalesce("more", F.array("pos", "size")).alias("at"))
     distinct = kept.where("NOT copy").select("key", *own_columns(tagged), "pos", "size")
     shared = distinct.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select(F.col("key").alias("key2"), (F.col("c") > MOST_UNITS).alias("crowded"))
-    rivals = distinct.join(shared, F.col("key") == F.col("key2"))
+    rivals = distinct.join(shared, same_keys(("key", "key2")))
     held = with_marks(once, together(rivals, tagged, "key", "pos", "size", "crowded"), tagged, "inner")
     return together(copies.unionByName(sorted_marks(unit_bytes(held, length), length).select(*own_columns(tagged), "at")), tagged, "at")
 
