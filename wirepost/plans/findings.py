@@ -8,6 +8,7 @@ from ..functions import conditions, facts, tls
 from ..operators import certificates, correlation, findings, forest, handshakes, reports
 from . import bridge, verdicts
 from .bridge import OFFERS_SQL, SESSIONS_SQL, table
+from .scoring import SESS
 from .text import _SQL_SAMPLES, SAMPLES
 
 S = f"WITH s AS ({SESSIONS_SQL})"
@@ -392,6 +393,17 @@ ORACLES = {
         SELECT DISTINCT server, session, 'version:0x0' || lower(to_hex(c)) AS capability, shown, excluded FROM x JOIN n USING (server, c) WHERE shown > 0 AND excluded > 0""",
     "agg_17": f"{USED} SELECT * FROM i",
     "snk_05": f"""{USED} SELECT server, '{{"bomFormat":"CycloneDX","components":[' || string_agg('{{"bom-ref":"' || ref || '","name":"' || name || '","primitive":"' || primitive || '","type":"cryptographic-asset"}}', ',' ORDER BY ref) || '],"specVersion":"1.6"}}' AS document FROM i GROUP BY server""",
+    "snk_02": f"""{SESS}, g AS (SELECT server, severity, count(*) AS n FROM ({bridge.FINDINGS_SQL}) GROUP BY ALL),
+        m AS (SELECT server, string_agg('"' || severity || '":' || n, ',' ORDER BY severity) AS f FROM g GROUP BY server),
+        t AS (SELECT server, count(*) AS n, count(*) FILTER (WHERE encrypted) AS e, count(*) FILTER (WHERE cleartext) AS c, count(*) FILTER (WHERE encrypted AND seen) AS o, count(*) FILTER (WHERE encrypted AND seen AND NOT safe) AS x FROM o GROUP BY server)
+        SELECT t.server, '{{"cleartext":' || c || ',"encrypted":' || e || ',"exposed":' || x || ',"findings_by_severity":{{' || coalesce(f, '') || '}},"not_observable":' || (n - e - c) || ',"observable":' || o || ',"sessions_total":' || n || '}}' AS report
+        FROM t LEFT JOIN m ON t.server = m.server""",
+    "snk_01": f"""{SESS}, g AS (SELECT server, severity, count(*) AS n FROM ({bridge.FINDINGS_SQL}) GROUP BY ALL),
+        m AS (SELECT server, string_agg('    "' || severity || '": ' || n, ',' || chr(10) ORDER BY severity) AS f FROM g GROUP BY server),
+        t AS (SELECT server, count(*) AS n, count(*) FILTER (WHERE encrypted) AS e, count(*) FILTER (WHERE cleartext) AS c, count(*) FILTER (WHERE encrypted AND seen) AS o, count(*) FILTER (WHERE encrypted AND seen AND NOT safe) AS x FROM o GROUP BY server),
+        r AS (SELECT t.server, list_value('"cleartext": ' || c, '"encrypted": ' || e, '"exposed": ' || x, '"findings_by_severity": {{' || CASE WHEN f IS NULL THEN '' ELSE chr(10) || f || chr(10) || '  ' END || '}}',
+            '"not_observable": ' || (n - e - c), '"observable": ' || o, '"sessions_total": ' || n) AS parts FROM t LEFT JOIN m ON t.server = m.server)
+        SELECT server, sha256('{{' || chr(10) || '  ' || array_to_string(parts, ',' || chr(10) || '  ') || chr(10) || '}}' || chr(10)) AS sha FROM r""",
     "str_12": """WITH h AS (SELECT page_id, sha1(unhex('6ba7b8119dad11d180b400c04fd430c8') || encode(coalesce(url, ''))) AS x FROM pages)
         SELECT page_id, concat_ws('-', substr(x, 1, 8), substr(x, 9, 4), '5' || substr(x, 14, 3), ['8', '9', 'a', 'b'][(strpos('0123456789abcdef', substr(x, 17, 1)) - 1) % 4 + 1] || substr(x, 18, 3), substr(x, 21, 12)) AS serial FROM h""",
     "bin_12": "SELECT page_id, array_to_string(list_transform(range(least(16, octet_length(encode(coalesce(url, ''))))), lambda i: lower(substr(hex(encode(coalesce(url, ''))), 2 * i + 1, 2))), ' ') AS window FROM pages",
