@@ -111,3 +111,12 @@ def top_factors(parts: DataFrame, k: int = 3) -> DataFrame:
     """(id, rank, feature, part): the k largest positive contributions of each id, equal ones by name."""
     order = Window.partitionBy("id").orderBy(F.desc("part"), "feature")
     return parts.where("part > 0").withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("id", "rank", "feature", "part")
+
+
+def applied(scores: DataFrame, by: str, clean: Column, q: float = 0.99) -> DataFrame:
+    """(id, score, is_anomaly, percentile, disagrees): scores (id, by, score) against the threshold of their group; an anomaly that no rule finds (`clean`) disagrees with the rules."""
+    limits = quantile_higher(scores, by, "score", q)
+    placed = counted_below(scores, by, "score").join(limits, by)
+    flagged = F.col("score") >= F.col("threshold")
+    percentile = 100 * (F.col("below") + 0.5 * F.col("same")) / F.col("total")
+    return placed.select("id", "score", flagged.alias("is_anomaly"), percentile.alias("percentile"), (flagged & clean).alias("disagrees"))

@@ -118,7 +118,13 @@ def _srt_09(s, d):
     return scored(s, d).orderBy(F.desc("score"), "id").limit(10).select("id", "score")
 
 
+def dom_14(s, d):
+    found = anomaly.applied(scored(s, d), "label", F.col("id") % 3 == 0)
+    return found.withColumn("percentile", F.round("percentile", 6))
+
+
 QUERIES = {
+    "dom_14": dom_14,
     "agg_23": agg_23,
     "agg_24": agg_24,
     "agg_25": agg_25,
@@ -149,6 +155,10 @@ ORACLES = {
     "agg_29": f"{HIST} SELECT label, round(median(score), 4) AS median, max(score) AS highest FROM sc GROUP BY label",
     "agg_32": f"""{HIST}, k AS (SELECT label, row_number() OVER (PARTITION BY label ORDER BY score DESC, id) AS r1, row_number() OVER (PARTITION BY label ORDER BY round(score, 0) DESC, id) AS r2 FROM sc),
         j AS (SELECT label, count(*) FILTER (WHERE r1 <= 10 AND r2 <= 10) / count(*) AS x FROM k WHERE r1 <= 10 OR r2 <= 10 GROUP BY label) SELECT round(avg(x), 6) AS jaccard FROM j""",
+    "dom_14": f"""{HIST}, k AS (SELECT id, label, score, row_number() OVER (PARTITION BY label ORDER BY score) - 1 AS i, count(*) OVER (PARTITION BY label) AS n FROM sc),
+        t AS (SELECT label, score AS threshold FROM k WHERE i = CAST(ceil(0.99 * (n - 1)) AS BIGINT)),
+        p AS (SELECT a.id, 100.0 * (count(*) FILTER (WHERE b.score < a.score) + 0.5 * count(*) FILTER (WHERE b.score = a.score)) / count(*) AS percentile FROM sc a JOIN sc b ON a.label = b.label GROUP BY a.id)
+        SELECT sc.id, score, score >= threshold AS is_anomaly, round(percentile, 6) AS percentile, score >= threshold AND sc.id % 3 = 0 AS disagrees FROM sc JOIN t USING (label) JOIN p ON sc.id = p.id""",
     "dom_13": """WITH RECURSIVE s AS (SELECT label, count(*) AS n, row_number() OVER (ORDER BY count(*) DESC, label) AS i FROM embeddings GROUP BY label),
         r AS (SELECT CAST(0 AS BIGINT) AS i, CAST(0 AS BIGINT) AS a, CAST(0 AS BIGINT) AS b, CAST(0 AS BIGINT) AS c, -1 AS fold, CAST(0 AS BIGINT) AS n
             UNION ALL

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import conditions, facts, tls
-from ..operators import certificates, correlation, findings, forest, handshakes, reports
+from ..operators import certificates, correlation, findings, forest, handshakes, lines, reports
 from . import bridge, verdicts
 from .bridge import OFFERS_SQL, SESSIONS_SQL, table
 from .scoring import SESS
@@ -113,11 +113,11 @@ MAILBOX = (("c2s", "RETR 1\r\n"), ("s2c", "+OK 120 octets\r\n"), ("s2c", "+OK in
 MESSAGES = (("c2s", "DATA\r\n"), ("s2c", "354 go\r\n"), ("c2s", "some text\r\n"), ("c2s", "last\r\n.\r\n"), ("c2s", "DATA\r\n.\r\n"), ("c2s", "EHLO a\r\n"), ("s2c", "250 ok\r\n"), ("c2s", "AUTH PLAIN x\r\n"), ("c2s", "BDAT 4\r\n"), ("c2s", "\x16\x03\x01\x00\x05\x01\r\n"), ("s2c", "\x17\x03\x03\x00\x05"), ("s2c", "\x16\x03\x01\x00\x05\x02"), ("c2s", "STARTTLS\r\n"), ("s2c", "hm"))
 
 
-def spoken(s, d, lines):
+def spoken(s, d, said):
     """orders as lines of their customers, by a remainder that jumps about."""
-    k, n = F.col("o_orderkey"), len(lines)
+    k, n = F.col("o_orderkey"), len(said)
     at = ((k * 7 + F.floor(k / 5)) % n + 1).cast("int")
-    side, line = (F.element_at(F.array(*(F.lit(x[i]) for x in lines)), at) for i in (0, 1))
+    side, line = (F.element_at(F.array(*(F.lit(x[i]) for x in said)), at) for i in (0, 1))
     kind = pick(F.col("o_custkey"), 10**9, "smtp", "smtp", "imap", "unknown")
     return table(s, d, "orders").select(F.col("o_custkey").alias("flow"), k.alias("at"), side.alias("dir"), line.alias("line"), kind.alias("kind"))
 
@@ -304,7 +304,22 @@ def mth_09(s, d):
     return forest.isolation(rows, forest.forest(rows))
 
 
+def jon_06(s, d):
+    return lines.capability_windows(verdicts.flow_lines(s, d)).select("flow", "ehlo", "next")
+
+
+def win_14(s, d):
+    return lines.capability_windows(verdicts.flow_lines(s, d)).select("flow", "words")
+
+
+def jon_09(s, d):
+    return lines.tagged_replies(verdicts.flow_lines(s, d))
+
+
 QUERIES = {
+    "jon_06": jon_06,
+    "win_14": win_14,
+    "jon_09": jon_09,
     "bin_10": bin_10,
     "mth_09": mth_09,
     "flt_07": flt_07,
@@ -339,7 +354,15 @@ QUERIES = {
 }
 LIT = "[" + ", ".join(f"'{x}'" for x in LITERALS) + f"][o_orderkey % {10**9} % {len(LITERALS)} + 1]"
 TIERS = "['OBSERVED', 'DEDUCED', 'INFERRED', 'NOT_OBSERVABLE']"
+LINES = f"""WITH l AS (SELECT o_custkey AS flow, o_orderkey AS pos, o_orderkey // 2 % 2 = 0 AS c, {_SQL_SAMPLES}[o_orderkey % {len(SAMPLES)} + 1] AS line FROM orders),
+    e AS (SELECT flow, min(pos) AS ehlo FROM l WHERE c AND regexp_matches(upper(line), '^EHLO([ \\t]|\\r?\\n)') GROUP BY flow),
+    n AS (SELECT e.flow, ehlo, (SELECT min(pos) FROM l WHERE l.flow = e.flow AND c AND pos > ehlo) AS next FROM e)"""
 ORACLES = {
+    "jon_06": f"{LINES} SELECT * FROM n",
+    "win_14": f"""{LINES} SELECT n.flow, coalesce(list(regexp_extract(upper(line), '^250[ -]([^ \\t\\r\\n]+)', 1) ORDER BY pos) FILTER (WHERE regexp_matches(upper(line), '^250[ -][^ \\t\\r\\n]')), []) AS words
+        FROM n LEFT JOIN l ON l.flow = n.flow AND NOT c AND pos > ehlo AND (next IS NULL OR pos < next) GROUP BY n.flow""",
+    "jon_09": f"""{LINES}, t AS (SELECT flow, pos, c, regexp_extract(line, '^([^ \\t\\r\\n]+)[ \\t]', 1) AS tag FROM l), a AS (SELECT flow, tag, min(pos) AS asked FROM t WHERE c AND tag <> '' GROUP BY ALL)
+        SELECT *, (SELECT min(pos) FROM t WHERE t.flow = a.flow AND t.tag = a.tag AND NOT c AND pos > asked) AS replied FROM a""",
     "bin_10": """SELECT o_orderkey AS k, CASE WHEN bad THEN 'malformed' ELSE 'complete' END AS status, CASE WHEN NOT bad THEN o_orderkey % 4 = o_orderkey % 3 END AS self_signed,
         CASE WHEN NOT bad THEN ['sha256', 'sha1', 'sha384'][o_orderkey % 3 + 1] END AS signature_hash, CASE WHEN bad THEN NULL WHEN ec THEN 'EC' ELSE 'RSA' END AS key_kind,
         CAST(CASE WHEN bad THEN NULL WHEN ec THEN 256 WHEN o_orderkey % 2 = 0 THEN 2048 ELSE 1024 END AS INTEGER) AS key_bits, CASE WHEN NOT bad AND ec THEN 'secp256r1' END AS curve,
