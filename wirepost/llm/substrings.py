@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from .repeats import (
     by_doc, columns_of, covered, distinct_texts, hashed_texts, ids_repeat, int_lists, marked, once_each, one_a_batch, own_columns, packed_texts, runs, scattered, small_batches, together, unpack, with_marks
 )
-from .shared import blocks, byte_values, doc_id, materialize, window_hashes, word_hashes
+from .shared import blocks, byte_values, doc_id, materialize, same_keys, window_hashes, word_hashes
 
 #: Perfect difference sets by their period. Any two places are brought to places of the set by one common shift less than the period.
 COVERS = {1: (0,), 3: (0, 1), 7: (0, 1, 3), 13: (0, 1, 3, 9), 21: (0, 1, 4, 14, 16)}
@@ -263,7 +263,7 @@ def repeated_windows(docs: DataFrame, texts: DataFrame, window: int, tagged: boo
     rivals = kept.where("leads").select("key", *own_columns(tagged), "pos", "span", "sure")
     met = rivals.groupBy("key").agg(F.count("*").alias("c"), F.every("sure").alias("done")).where("c > 1 AND NOT done")
     met = met.select(F.col("key").alias("key2"), (F.col("c") > MOST_CONTEXTS).alias("crowded"))
-    held = with_marks(once, together(rivals.join(met, F.col("key") == F.col("key2")), tagged, "key", "pos", "span", "sure", "crowded"), tagged, "inner")
+    held = with_marks(once, together(rivals.join(met, same_keys(("key", "key2"))), tagged, "key", "pos", "span", "sure", "crowded"), tagged, "inner")
     grown = extended_marks(context_words(held, window, period), window, period).select(*own_columns(tagged), "at")
     return together(settled.unionByName(grown), tagged, "at")
 
