@@ -152,7 +152,7 @@ class Benchmark:
         return out
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, width: int = 5, least: float = 0.8, radius: int = 20) -> DataFrame:
+def contaminated(docs: DataFrame, benchmark: DataFrame, width: int = 5, least: float = 0.8, radius: int = 24) -> DataFrame:
     """(doc_id, item_id, first_word, similarity, dk, th): the best window of each text for each benchmark item, if similar enough.
 
     Words are runs of ASCII letters, digits and non-ASCII characters, A-Z lower-cased; shingles have `width` words, or all
@@ -160,7 +160,9 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, width: int = 5, least: f
     without fingerprints. Similarity is weighted Jaccard: each shingle weighs
     as often as it occurs. A window counts if it shares a shingle with the item (any with a similarity over 0 does), if their
     SimHash fingerprints differ in at most `radius` of 64 bits, and if the similarity is `least` or more; ties go to the
-    earlier window. At a similarity of 0.8 fingerprints differ in about ten bits, three standard deviations below 20.
+    earlier window. At a similarity of 0.8 fingerprints differ in 9.5 bits on average; in 20,000 simulated pairs of 200
+    shingles 9 differed in over 20 bits, 2 in over 22 and none in over 24. Shared shingles propose what is compared, as blocks
+    for such a radius let most random fingerprints through (README).
 
     Items without words match nothing, nor do null or empty texts. Repeated rows of docs each
     give rows; repeated items each give rows; null ids stay null; other columns are ignored. The benchmark goes to the tasks
