@@ -235,24 +235,37 @@ def bin_02(s, d):
 
 def hello_bytes(s, d):
     """(flow, dir, data): orders as handshake records: a ClientHello with GREASE, three extensions and a name, and the server's answer."""
-    k = F.col("o_orderkey")
+    k, lit, cat = F.col("o_orderkey"), F.lit, F.concat
     h = lambda c, n: F.lpad(F.hex(c), n, F.lit("0"))
-    sized = lambda body, n: F.concat(h((F.length(body) / 2).cast("long"), n), body)
-    lit = F.lit
-    name = F.concat(F.lit("MX"), (k % 50).cast("string"), F.lit(".Example.ORG"), F.when(k % 3 == 0, ".").otherwise(""), F.when(k % 7 == 0, "_").otherwise(""))
-    sni = F.concat(lit("0000"), sized(sized(F.concat(lit("00"), sized(F.hex(F.encode(name, "US-ASCII")), 4)), 4), 4))
-    versions = F.concat(lit("002B"), sized(sized(F.concat(lit("1A1A"), F.when(k % 2 == 0, "0304").otherwise(""), lit("0303")), 2), 4))
-    groups = F.concat(lit("000A"), sized(sized(F.concat(h(k % 100 + 20, 4), lit("001D")), 4), 4))
-    extensions = F.concat(sni, versions, groups, F.when(k % 11 == 0, groups).otherwise(""))
-    ciphers = F.concat(lit("2A2A"), h(k % 7 + 0xC02B, 4), lit("1301"), F.when(k % 5 == 0, "5600").otherwise(""))
-    client = F.concat(lit("0303"), F.repeat(lit("11"), 32), lit("00"), sized(ciphers, 4), lit("0100"), sized(extensions, 4))
-    chosen = F.concat(lit("002B"), sized(F.when(k % 13 == 0, "0303").otherwise("0304"), 4))
-    random = F.concat(F.repeat(lit("22"), 24), F.when(k % 2 == 0, "2222222222222222").otherwise("444F574E47524401"))
-    server = F.concat(lit("0303"), random, lit("00"), h(k % 7 + 0xC02B, 4), lit("00"), F.when(k % 2 == 0, sized(chosen, 4)).otherwise(""))
-    record = lambda kind, body: F.concat(lit("160303"), sized(F.concat(lit(kind), sized(body, 6)), 4))
-    both = F.array(F.struct(lit("c2s").alias("dir"), F.concat(lit("00FF"), record("01", client)).alias("hex")), F.struct(lit("s2c").alias("dir"), record("02", server).alias("hex")))
-    rows = table(s, d, "orders").select(k.cast("string").alias("flow"), F.explode(both).alias("m"))
-    return rows.select("flow", "m.dir", F.unhex("m.hex").alias("data"), F.array().cast("array<int>").alias("disputed"))
+    sized = lambda c, n: cat(h((F.length(c) / 2).cast("long"), n), F.col(c))
+    name = cat(lit("MX"), (k % 50).cast("string"), lit(".Example.ORG"), F.when(k % 3 == 0, ".").otherwise(""), F.when(k % 7 == 0, "_").otherwise(""))
+    steps = [  # each a column of its own, as a length needs its body twice
+        ("name", F.hex(F.encode(name, "US-ASCII"))),
+        ("entry", cat(lit("00"), sized("name", 4))),
+        ("list", sized("entry", 4)),
+        ("sni", cat(lit("0000"), sized("list", 4))),
+        ("offer", cat(lit("1A1A"), F.when(k % 2 == 0, "0304").otherwise(""), lit("0303"))),
+        ("offers", sized("offer", 2)),
+        ("versions", cat(lit("002B"), sized("offers", 4))),
+        ("group", cat(h(k % 100 + 20, 4), lit("001D"))),
+        ("groups", sized("group", 4)),
+        ("curves", cat(lit("000A"), sized("groups", 4))),
+        ("extensions", cat("sni", "versions", "curves", F.when(k % 11 == 0, F.col("curves")).otherwise(""))),
+        ("ciphers", cat(lit("2A2A"), h(k % 7 + 0xC02B, 4), lit("1301"), F.when(k % 5 == 0, "5600").otherwise(""))),
+        ("client", cat(lit("0303"), F.repeat(lit("11"), 32), lit("00"), sized("ciphers", 4), lit("0100"), sized("extensions", 4))),
+        ("chosen", F.when(k % 13 == 0, "0303").otherwise("0304")),
+        ("choice", cat(lit("002B"), sized("chosen", 4))),
+        ("random", cat(F.repeat(lit("22"), 24), F.when(k % 2 == 0, "2222222222222222").otherwise("444F574E47524401"))),
+        ("server", cat(lit("0303"), F.col("random"), lit("00"), h(k % 7 + 0xC02B, 4), lit("00"), F.when(k % 2 == 0, sized("choice", 4)).otherwise(""))),
+        ("asked", cat(lit("01"), sized("client", 6))),
+        ("told", cat(lit("02"), sized("server", 6))),
+    ]
+    rows = table(s, d, "orders").select("o_orderkey")
+    for column, made in steps:
+        rows = rows.withColumn(column, made)
+    both = F.array(F.struct(lit("c2s").alias("dir"), cat(lit("00FF160303"), sized("asked", 4)).alias("hex")), F.struct(lit("s2c").alias("dir"), cat(lit("160303"), sized("told", 4)).alias("hex")))
+    sent = rows.select(k.cast("string").alias("flow"), F.explode(both).alias("m"))
+    return sent.select("flow", "m.dir", F.unhex("m.hex").alias("data"), F.array().cast("array<int>").alias("disputed"))
 
 
 def bin_06(s, d):
