@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, licenses, lines, quality, simhash, substrings, suffixes, topk, warc
+from . import bpe, decontaminate, licenses, lines, middle, quality, simhash, substrings, suffixes, topk, warc
 from .shared import doc_id
 
 
@@ -64,6 +64,10 @@ def op10_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.substring_digests(table(spark, sf_dir, "documents"))
 
 
+def op11_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return middle.digests(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
     "op2_decontaminate": op2_decontaminate,
@@ -75,6 +79,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality": op8_quality,
     "op9_topk": op9_topk,
     "op10_substrings": op10_substrings,
+    "op11_middle": op11_middle,
 }
 
 ORACLES: dict[str, str] = {
@@ -107,4 +112,27 @@ ORACLES: dict[str, str] = {
         SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score
         FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
         WHERE rank <= 5""",
+    "op11_middle": r"""
+        WITH d AS (
+            SELECT doc_id, coalesce(text, '') AS text, sha256('42:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h,
+                   regexp_extract_all(coalesce(text, ''), '[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+') AS t
+            FROM documents),
+        k AS (
+            SELECT doc_id, text, t, len(t) AS n,
+                   CAST('0x' || substr(h, 1, 8) AS UBIGINT) % (len(t) + 1) AS k1,
+                   CAST('0x' || substr(h, 9, 8) AS UBIGINT) % (len(t) + 1) AS k2,
+                   CASE WHEN text = '' OR regexp_matches(text, '<[PSM]>') OR CAST('0x' || substr(h, 17, 8) AS UBIGINT) % 100 >= 50 THEN 'plain'
+                        WHEN CAST('0x' || substr(h, 25, 8) AS UBIGINT) % 100 < 80 THEN 'spm' ELSE 'psm' END AS form
+            FROM d),
+        p AS (
+            SELECT *, array_to_string(t[1:least(k1, k2)], '') AS pre, array_to_string(t[least(k1, k2) + 1:greatest(k1, k2)], '') AS mid,
+                   array_to_string(t[greatest(k1, k2) + 1:], '') AS suf
+            FROM k)
+        SELECT doc_id, CAST(n AS BIGINT) AS n, form,
+               CASE WHEN form <> 'plain' THEN CAST(length(pre) AS BIGINT) END AS prefix_chars,
+               CASE WHEN form <> 'plain' THEN CAST(length(mid) AS BIGINT) END AS middle_chars,
+               sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || pre || '<S>' || suf || '<M>' || mid
+                                ELSE '<S>' || suf || '<P>' || pre || '<M>' || mid END) AS output_sha256,
+               sha256(text) AS restored_sha256
+        FROM p""",
 }
