@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, licenses, lines, middle, quality, simhash, substrings, suffixes, topk, warc
+from . import bpe, decontaminate, licenses, lines, middle, quality, simhash, spelling, substrings, suffixes, topk, warc
 from .shared import doc_id
 
 
@@ -68,6 +68,10 @@ def op11_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return middle.digests(table(spark, sf_dir, "documents"))
 
 
+def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
     "op2_decontaminate": op2_decontaminate,
@@ -80,6 +84,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_topk": op9_topk,
     "op10_substrings": op10_substrings,
     "op11_middle": op11_middle,
+    "op12_spelling": op12_spelling,
 }
 
 ORACLES: dict[str, str] = {
