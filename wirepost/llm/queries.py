@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, licenses, lines, middle, quality, simhash, spelling, substrings, suffixes, topk, warc
+from . import bpe, decontaminate, licenses, lines, middle, quality, simhash, spelling, substrings, suffixes, templates, topk, warc
 from .shared import doc_id
 
 
@@ -72,6 +72,10 @@ def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.variants(table(spark, sf_dir, "documents"))
 
 
+def op13_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return templates.main_texts(table(spark, sf_dir, "pages"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
     "op2_decontaminate": op2_decontaminate,
@@ -85,6 +89,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_substrings": op10_substrings,
     "op11_middle": op11_middle,
     "op12_spelling": op12_spelling,
+    "op13_html": op13_html,
 }
 
 ORACLES: dict[str, str] = {

@@ -33,10 +33,10 @@ def fresh_path(spark: SparkSession, kind: str) -> str:
     return f"{shared_dir(spark)}/{kind}-{uuid.uuid4().hex}"
 
 
-def materialize(df: DataFrame, kind: str = "table") -> DataFrame:
+def materialize(df: DataFrame, kind: str = "table", compression: str | None = None) -> DataFrame:
     """Write df to the shared folder and read it again: cuts the lineage, and a lost executor costs no recomputation."""
     spark, path = df.sparkSession, fresh_path(df.sparkSession, kind)
-    df.write.parquet(path)
+    df.write.parquet(path, compression=compression)
     back = spark.read.schema(df.schema).parquet(path)
     back.wirepost_path = path
     return back
