@@ -161,11 +161,22 @@ def test_warc_round_trip(spark, tmp_path):
     assert warc.archive(df.limit(0)).count() == 0
 
 
+def test_warc_groups_hold_one_record(spark, tmp_path):
+    """Many equal rows of a page in segments: each is a record of its own, and no group is larger than one record."""
+    big = words(random.Random(2), 5000)
+    rows = [(None, "u", big)] * 300 + [(7, "u", big)] * 200 + [(8, "v", big)] * 100
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(5)
+    got = collected(warc.archive(df, path=str(tmp_path / "w")).select("page_id", "payload_bytes", "record_type", "refers_to"))
+    assert got == {(None, len(big), "response", None): 300, (7, len(big), "response", None): 200, (8, len(big), "revisit", 7): 100}
+    sizes = warc.read_records(spark, str(tmp_path / "w")).groupBy("origin").count()
+    assert sizes.agg(F.max("count")).first()[0] <= len(big) // warc.SEGMENT + 2 and sizes.count() == 600
+
+
 def test_warc_finds_missing_segments(spark):
     record = lambda n, total, block: ("o", n, total, "response", None, "sha1:x", bytearray(block), None)
     good = spark.createDataFrame([record(2, 5, b"de"), record(1, None, b"abc")], warc.PARTS)
     assert bytes(warc.reassembled(good).first().block) == b"abcde"
-    for bad in ([record(1, None, b"abc")], [record(1, None, b"abc"), record(2, 9, b"de")], [record(1, None, b"a"), record(3, 2, b"b")]):
+    for bad in ([record(1, None, b"abc")], [record(1, None, b"abc"), record(2, 9, b"de")], [record(1, None, b"a"), record(3, 2, b"b")], [record(0, None, b"a"), record(0, None, b"a")]):
         with pytest.raises(Exception, match="segments are missing"):
             warc.reassembled(spark.createDataFrame(bad, warc.PARTS)).collect()
 

@@ -9,6 +9,7 @@ import re
 from collections.abc import Iterator
 
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -47,13 +48,18 @@ def with_originals(pages: DataFrame, least: int) -> DataFrame:
 
 
 def records(pages: DataFrame, least: int = 0, segment: int = SEGMENT, chunk: int = CHUNK) -> DataFrame:
-    """(record binary): WARC/1.1 records of pages (page_id, url, html), each without the two line ends that close it."""
+    """(record binary): WARC/1.1 records of pages (page_id, url, html), each without the two line ends that close it.
+
+    Every row's record has an id of its own, its number within its task, so rows that repeat in all columns never share one.
+    """
 
     def mapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task, row = TaskContext.get().partitionId(), 0
         for batch in batches:
             made = []
             for page, url, payload, digest, refers in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                made += page_records(page, url, payload, digest, refers, segment, chunk)
+                row += 1
+                made += page_records(name_of(page, f"{task}.{row}", digest), url, payload, digest, refers, segment, chunk)
                 if len(made) >= 500:
                     yield pa.RecordBatch.from_arrays([pa.array(made, pa.binary())], ["record"])
                     made = []
@@ -62,14 +68,13 @@ def records(pages: DataFrame, least: int = 0, segment: int = SEGMENT, chunk: int
     return with_originals(pages, least).mapInArrow(mapped, "record binary")
 
 
-def name_of(page: int, url: str, digest: str) -> str:
-    """A record's id. Rows that share a page id have another address or payload, or the same record."""
-    return f"<urn:page:{'null' if page == NULL_ID else page}:{hashlib.sha1(url.encode()).hexdigest()[:12]}:{digest}>"
+def name_of(page: int, row: str, digest: str) -> str:
+    """A record's id: the page, the row that it was written from, and the digest."""
+    return f"<urn:page:{'null' if page == NULL_ID else page}:{row}:{digest}>"
 
 
-def page_records(page: int, url: str, payload: bytes, digest: str, refers: int | None, segment: int, chunk: int) -> Iterator[bytes]:
+def page_records(own: str, url: str, payload: bytes, digest: str, refers: int | None, segment: int, chunk: int) -> Iterator[bytes]:
     fields = [("WARC-Target-URI", url), ("WARC-Payload-Digest", f"sha1:{digest}"), ("Content-Type", "application/http; msgtype=response")]
-    own = name_of(page, url, digest)
     if refers is not None:
         fields += [("WARC-Profile", IDENTICAL), ("WARC-Refers-To", f"<urn:page:{refers}>")]
         yield record("revisit", own, fields, (HTTP + "\r\n").encode())
@@ -170,24 +175,22 @@ def unframed(origin: str, digest: str, block: bytes) -> bytes:
 def reassembled(parts: DataFrame) -> DataFrame:
     """(origin, whole, kind, refers, digest, block, n): records, those in segments joined by segment number.
 
-    A gap in the numbers, a missing end or a length other than the one said fails. A record that was written several times,
-    with all its segments, counts as often as its first one. All rows of a record meet in one shuffle, which every use of the
+    A gap in the numbers, a number or a record that comes twice, a missing end or a length other than the one said fails: ids
+    are unique, so a group is what one record was cut into. All rows of a record meet in one shuffle, which every use of the
     result can share.
     """
     segment = F.struct("segment", "block", "total", "kind", "refers", "digest", "n")
-    each = parts.groupBy("origin").agg(F.collect_list(segment).alias("all"))
-    each = each.withColumns({"copies": F.size(F.filter("all", lambda s: s["segment"] <= 1)), "all": F.array_distinct(F.array_sort("all"))})
+    each = parts.groupBy("origin").agg(F.array_sort(F.collect_list(segment)).alias("all"))
     first = F.element_at("all", 1)
-    each = each.withColumn("whole", F.coalesce(first["segment"] == 0, F.lit(False)))
+    each = each.withColumn("whole", (first["segment"] == 0) & (F.size("all") == 1))
     numbers = F.transform("all", lambda s: s["segment"])
     joined = F.unhex(F.array_join(F.transform("all", lambda s: F.hex(s["block"])), ""))  # in one step, however many segments
     each = each.withColumn("block", F.when(F.col("whole"), first["block"]).otherwise(joined))
     total = F.array_max(F.transform("all", lambda s: s["total"]))
     good = F.col("whole") | ((numbers == F.sequence(F.lit(1), F.size("all"))) & total.isNotNull() & (F.octet_length("block") == total))
-    fails = F.raise_error(F.concat(F.lit("segments are missing of "), F.col("origin"))).cast("int")
-    each = each.withColumn("copies", F.when(F.coalesce(good, F.lit(False)), F.col("copies")).otherwise(fails))
-    once = each.select("origin", "whole", first["kind"].alias("kind"), first["refers"].alias("refers"), first["digest"].alias("digest"), "block", first["n"].alias("n"), "copies")
-    return once.select("*", F.explode(F.sequence(F.lit(1), "copies")).alias("copy")).drop("copies", "copy")
+    fails = F.raise_error(F.concat(F.lit("segments are missing of "), F.col("origin"))).cast("boolean")
+    sure = each.where(F.when(F.coalesce(good, F.lit(False)), True).otherwise(fails))
+    return sure.select("origin", "whole", first["kind"].alias("kind"), first["refers"].alias("refers"), first["digest"].alias("digest"), "block", first["n"].alias("n"))
 
 
 def read_archives(spark, path: str, payloads: bool = True) -> DataFrame:
