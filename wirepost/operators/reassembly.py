@@ -39,7 +39,8 @@ def owners(segments: DataFrame) -> DataFrame:
     """(flow, dir, island, start, size, frame, off, hex): the interval that each segment owns; at a position the smallest (sequence, frame) counts."""
     rows = placed(segments).withColumn("start", F.greatest("seq", "upto")).withColumn("off", F.col("start") - F.col("seq"))
     own = rows.where("off < size")
-    return own.select(*STREAM, "island", "start", (F.col("size") - F.col("off")).alias("size"), "frame", "off", F.expr("substring(hex, int(2 * off) + 1)").alias("hex"))
+    more = [c for c in ("payload_off",) if c in own.columns]
+    return own.select(*STREAM, "island", "start", (F.col("size") - F.col("off")).alias("size"), "frame", "off", F.expr("substring(hex, int(2 * off) + 1)").alias("hex"), *more)
 
 
 def chunks(segments: DataFrame) -> DataFrame:
@@ -104,10 +105,31 @@ def within_budget(segments: DataFrame, max_bytes: int, max_segments: int) -> Dat
     return broken.withColumn("late", F.coalesce(F.max(F.col("over").cast("int")).over(before), F.lit(0)) + F.col("over").cast("int")).where("late = 0").drop("used", "nth", "over", "late")
 
 
+def openings(segments: DataFrame, most: int = 4) -> DataFrame:
+    """(flow, dir, frame, head): what each stream was seen to begin with, up to `most` contiguous bytes (hexadecimal text).
+
+    Segments have head (their first bytes) or hex. As frames come a stream's smallest sequence number can fall; each value
+    that it had is one row, with the bytes that had come by the last frame before it fell again. At a position the first
+    frame counts. Only the first `most` bytes of a segment are looked at. One window by stream, then equal keys.
+    """
+    head = F.col("head") if "head" in segments.columns else F.substring("hex", 1, 2 * most)
+    rows = segments.select(*STREAM, "seq", "frame", head.alias("head")).where("head <> ''")
+    so_far = Window.partitionBy(*STREAM).orderBy("frame", "seq").rowsBetween(Window.unboundedPreceding, 0)
+    begun = rows.withColumn("least", F.min("seq").over(so_far)).groupBy(*STREAM, "least").agg(F.max("frame").alias("until"))
+    wanted = begun.select(F.col("flow").alias("flow_"), F.col("dir").alias("dir_"), "least", "until", F.explode(F.sequence(F.col("least"), F.col("least") + most - 1)).alias("near"))
+    met = rows.join(wanted, (F.col("flow") == F.col("flow_")) & (F.col("dir") == F.col("dir_")) & (F.col("seq") == F.col("near")) & (F.col("frame") <= F.col("until")))
+    places = F.sequence(F.lit(0), (F.length("head") / 2).cast("int") - 1)
+    each = met.select(*STREAM, "least", "until", "seq", "frame", "head", F.explode(places).alias("i")).withColumn("pos", F.col("seq") + F.col("i")).where(F.col("pos") < F.col("least") + most)
+    first = each.groupBy(*STREAM, "least", "until", "pos").agg(F.min_by(F.expr("substring(head, 2 * i + 1, 2)"), F.struct("frame", "seq")).alias("byte"))
+    whole = first.groupBy(*STREAM, "least", "until").agg(F.map_from_entries(F.collect_list(F.struct(F.col("pos") - F.col("least"), "byte"))).alias("bytes"))
+    known = [F.try_element_at("bytes", F.lit(i).cast("long")) for i in range(most)]
+    text = F.coalesce(*(F.concat(*known[: n + 1]) for n in reversed(range(most))))
+    return whole.select(*STREAM, F.col("until").alias("frame"), text.alias("head"))
+
+
 def candidates(segments: DataFrame, prefixes: list[str]) -> DataFrame:
-    """(flow): flows one of whose streams begins, at its smallest sequence number, with one of the prefixes (hexadecimal text)."""
-    first = segments.where("hex <> ''").groupBy(*STREAM).agg(F.min_by(F.substring("hex", 1, 8), F.struct("seq", "frame")).alias("head"))
+    """(flow): flows one of whose streams was at any time seen to begin with one of the prefixes (hexadecimal text, four bytes at most), also across segments."""
     hit = F.lit(False)
     for p in prefixes:
         hit = hit | F.col("head").startswith(p)
-    return first.where(hit).select("flow").distinct()
+    return openings(segments).where(hit).select("flow").distinct()

@@ -130,7 +130,13 @@ def _next_sql(kind: str, wanted: str) -> str:
         FROM events a WHERE event_type = '{kind}'"""
 
 
-CAND = f"""{SEG}, h AS (SELECT DISTINCT flow FROM (SELECT DISTINCT ON (flow, dir) flow, hex FROM z ORDER BY flow, dir, seq, frame) WHERE substr(hex, 1, 4) IN ('5468', '4F6E', '4572'))"""
+#: What a stream was seen to begin with, at any time: for each smallest sequence number so far, its first two bytes as they had come by then.
+CAND = f"""{SEG}, r AS (SELECT *, min(seq) OVER (PARTITION BY flow, dir ORDER BY frame, seq ROWS UNBOUNDED PRECEDING) AS least FROM z),
+    e AS (SELECT flow, dir, least, max(frame) AS until FROM r GROUP BY ALL),
+    b AS (SELECT e.flow, e.dir, least, z.seq + i - least AS nth, arg_min(substr(hex, CAST(2 * i + 1 AS INTEGER), 2), frame) AS byte
+          FROM e JOIN (SELECT *, unnest(range(least(size, 4))) AS i FROM z) z ON e.flow = z.flow AND e.dir = z.dir AND z.frame <= until AND z.seq BETWEEN least AND least + 3
+          WHERE z.seq + i < least + 4 GROUP BY ALL),
+    h AS (SELECT DISTINCT x.flow FROM b x JOIN b y ON x.flow = y.flow AND x.dir = y.dir AND x.least = y.least AND x.nth = 0 AND y.nth = 1 WHERE x.byte || y.byte IN ('5468', '4F6E', '4572'))"""
 ORACLES = {
     "agg_01": "SELECT event_type, count(*) AS n FROM events GROUP BY event_type",
     "agg_02": "SELECT k AS event_type, count(event_id) AS n FROM (VALUES ('signup'), ('error'), ('view'), ('nosuch')) v(k) LEFT JOIN events ON event_type = k GROUP BY k",
