@@ -9,8 +9,21 @@ import numpy as np
 import pytest
 from test_captures import CLIENT, SERVER, ethernet, extension, hello, pcap, record, tcp
 
-from wirepost.functions import conditions, der
+from wirepost.functions import conditions, der, registry, tls
+from wirepost.functions.tracking import Budget
 from wirepost.operators import analysis, certificates, findings, forest
+from wirepost.sources import captures
+
+
+def test_names_of_suites_say_what_they_are():
+    assert len(registry.SUITES) == 36 and len(registry.GROUPS) == 10
+    assert registry.algorithms(0xC02F) == [("ECDHE", "key-agree", None), ("RSA", "signature", None), ("AES-128-GCM", "ae", "gcm")]
+    assert registry.algorithms(0x000A) == [("RSA", "pke", None), ("3DES-EDE-CBC", "block-cipher", "cbc")]
+    assert registry.algorithms(0x1303) == [("ChaCha20-Poly1305", "ae", None)] and registry.algorithms(0x0005)[1] == ("RC4-128", "stream-cipher", None)
+    assert registry.algorithms(0xCCAA)[2] == ("ChaCha20-Poly1305", "ae", None) and registry.algorithms(0x5600) == []
+    props = {c: registry.properties(c) for c in registry.SUITES}
+    assert {c for c, p in props.items() if p["static_kex"]} == {0x0005, 0x000A, 0x002F, 0x0035, 0x003C, 0x003D, 0x009C, 0x009D}
+    assert {c for c, p in props.items() if p["tls13"]} == {0x1301, 0x1302, 0x1303} and sum(p["cbc"] for p in props.values()) == 19
 
 
 def tlv(tag, *parts):
@@ -161,6 +174,105 @@ def test_from_captures_to_reports(spark):
     assert rules[b.session] == {"CLEARTEXT-AUTH", "STARTTLS-NOT-OFFERED"} and rules[c.session] == {"PQ-HYBRID-OBSERVED"} and rules[d.session] == {"CLEARTEXT-AUTH"}
     assert b.observed_risk >= 90 and b.risk_band == "critical" and c.observed_risk == 0 and 0 < a.observed_risk < 90
     reports = {r.capture: json.loads(r.report) for r in found.reports.collect()}
-    assert reports["one"] | {} == {"cleartext": 2, "encrypted": 2, "exposed": 1, "findings_by_severity": {"critical": 2, "high": 3, "info": 1, "low": 1, "medium": 1}, "not_observable": 0, "observable": 2, "sessions_total": 4}
-    assert reports["two"]["sessions_total"] == 1 and set(reports) == {"one", "two"}
+    one_report = reports["one"]
+    assert one_report["summary"] == {"cleartext": 2, "encrypted": 2, "findings_assessed": True, "findings_by_severity": {"critical": 2, "high": 3, "info": 1, "low": 1, "medium": 1}, "not_observable": 0, "sessions_total": 4}
+    assert one_report["hndl"] == {"exposed_sessions": 3, "percent": 75, "quantum_safe_sessions": 1, "total_sessions": 4, "unobservable_sessions": 0}
+    assert [s["server_name"] for s in one_report["sessions"]] == ["mx@10.0.0.2:25", "mx@10.0.0.3:25", "10.0.0.4:993", "10.0.0.6:110"] and len(one_report["findings"]) == 8
+    assert one_report["capture_health"]["analysis_status"] == "complete" and {s["server"] for s in one_report["servers"]} == {"mx@10.0.0.2:25", "mx@10.0.0.3:25", "10.0.0.4:993", "10.0.0.6:110"}
+    assert reports["two"]["summary"]["sessions_total"] == 1 and reports["none"]["summary"]["sessions_total"] == 0 and set(reports) == {"one", "two", "none"}
+    assert not reports["none"]["summary"]["findings_assessed"]
     assert {r.capture: r.analysis_status for r in found.health.collect()} == {"one": "complete", "two": "complete", "none": "unreadable"}
+    packets, proof = upgraded + clear + hidden + web + mailbox, {}
+    for f in found.findings.where("capture = 'one'").collect():
+        assert f.tier == "OBSERVED" and f.evidence and f.reason is None
+        proof[f.session, f.rule] = [packets[e.frame - 1][e.offset : e.offset + e.length] for e in f.evidence]
+    assert proof[b.session, "CLEARTEXT-AUTH"] == [b"AUTH PLAIN abc\r\n"] and proof[b.session, "STARTTLS-NOT-OFFERED"] == [b"250 mx\r\n"]
+    assert proof[d.session, "CLEARTEXT-AUTH"] == [b"USER a\r\n"] and proof[c.session, "PQ-HYBRID-OBSERVED"] == [b"\x11\xec"]
+    assert proof[a.session, "TLS-DOWNGRADE-ANOMALY"] == [b"\3\4\3\3", bytes.fromhex("444F574E47524401")]
+    assert proof[a.session, "CERT-EXPIRED"] == [cert(issuer="b", end="700101000000Z")]
+
+
+def sessions_of(spark, *conversations):
+    packets = [p for c in conversations for p in c]
+    found = analysis.analyse(spark.createDataFrame([("c", pcap(packets))], "capture string, content binary"))
+    return found, sorted(found.sessions.collect(), key=lambda r: r.first_frame)
+
+
+def test_what_a_server_selected(spark):
+    """Draft and old versions, suites that no table knows, broken and inconsistent ServerHellos."""
+    up, down = lambda x: (True, x), lambda x: (False, x)
+    versions = lambda *v: extension(43, bytes([2 * len(v)]) + b"".join(x.to_bytes(2, "big") for x in v))
+    client = lambda exts, legacy=b"\3\3": (lambda h: h[:4] + legacy + h[6:])(hello(1, b"r" * 32, b"\0\4\x13\1\xc0\x2f\1\0", exts))
+    server = lambda suite, exts=b"", random=b"s" * 32, legacy=b"\3\3": (lambda h: h[:4] + legacy + h[6:])(hello(2, random, suite + b"\0", exts))
+    new = extension(43, b"\3\4") + extension(51, b"\0\x1d\0\0")
+    retry = server(b"\x13\2", extension(43, b"\3\4") + extension(51, b"\0\x1d"), random=tls.RETRY)
+    cases = [
+        (client(versions(0x7F1C, 0x0303)), server(b"\0\x9e")),
+        (client(b"", b"\3\0"), server(b"\0\x2f", legacy=b"\3\0")),
+        (client(versions(0x0304, 0x0303)), server(b"\xab\xcd", legacy=b"\3\1")),
+        (client(versions(0x0304)), server(b"\x13\1", extension(43, b"\3\3"))),
+        (client(versions(0x0304)), retry, server(b"\x13\1", new)),
+        (client(versions(0x0304)), retry, server(b"\x13\2", new)),
+        (client(versions(0x0304)),),
+    ]
+    made = [conversation((f"10.0.1.{i}", 993), up(record(c[0])), *(down(record(x)) for x in c[1:])) for i, c in enumerate(cases)]
+    _, rows = sessions_of(spark, *made)
+    told = [(r.version, r.delta, r.cipher, r.cipher_known, r.version_tier, r.cipher_tier) for r in rows]
+    seen, hidden = "OBSERVED", "NOT_OBSERVABLE"
+    assert told == [
+        ("TLS1.2", 0, "TLS_DHE_RSA_WITH_AES_128_GCM_SHA256", True, seen, seen),
+        ("SSL3.0", None, "TLS_RSA_WITH_AES_128_CBC_SHA", True, seen, seen),
+        ("TLS1.0", 3, "UNKNOWN_0xABCD", False, seen, seen),
+        (None, None, None, False, hidden, hidden),
+        (None, None, None, False, hidden, hidden),
+        ("TLS1.3", 0, "TLS_AES_256_GCM_SHA384", True, seen, seen),
+        (None, None, None, False, hidden, hidden),
+    ]
+    assert [r.offered_version for r in rows] == [None, "SSL3.0", "TLS1.3", "TLS1.3", "TLS1.3", "TLS1.3", "TLS1.3"]
+
+
+def test_a_server_that_contradicts_itself(spark):
+    """The same server takes TLS 1.3 once and passes over it another time; who asked for a name lends it to who didn't."""
+    up, down = lambda x: (True, x), lambda x: (False, x)
+    name = extension(0, b"\0\7\0\0\4mx.a")
+    offer = extension(43, b"\4\3\4\3\3") + extension(51, b"\0\0")
+    ask = lambda extra: hello(1, b"r" * 32, b"\0\4\x13\1\xc0\x2f\1\0", extra + offer)
+    new = hello(2, b"s" * 32, b"\x13\1\0", extension(43, b"\3\4") + extension(51, b"\0\x1d\0\0"))
+    old = hello(2, b"s" * 32, b"\xc0\x2f\0", b"")
+    one = conversation(("10.0.0.4", 993), up(record(ask(name))), down(record(new)))
+    two = conversation(("10.0.0.4", 993), up(record(ask(b""))), down(record(old) + record(certificate_message(cert()))))
+    two = [p.replace((40993).to_bytes(2, "big"), (41000).to_bytes(2, "big")) for p in two]
+    found, (a, b) = sessions_of(spark, one, two)
+    assert (a.server_name, a.host_source, a.host_tier) == ("mx.a@10.0.0.4:993", "tls_sni", "OBSERVED")
+    assert (b.server_name, b.host_source, b.host_tier) == ("mx.a@10.0.0.4:993", "endpoint_sni_association", "DEDUCED")
+    (server,) = found.servers.collect()
+    assert server.contradictions == ["version:0x0304"] and server.n_sessions == 2
+    told = {f.session: f for f in found.findings.where("rule = 'SERVER-INCONSISTENT'").collect()}
+    packets = one + two
+    assert set(told) == {a.session, b.session} and {f.tier for f in told.values()} == {"DEDUCED"}
+    assert sorted(packets[e.frame - 1][e.offset : e.offset + e.length] for e in told[a.session].evidence) == [b"\3\4", b"\3\4"]
+    assert len({e.frame for e in told[a.session].evidence}) == 2
+    (hidden,) = found.sessions.where("fingerprints IS NOT NULL").collect()
+    assert hidden.session == a.session and hidden.fingerprints == [b.certificate_sha256] and not hidden.ambiguous
+
+
+def test_openings_across_segments(spark):
+    """Candidates by first bytes that come in pieces and out of order, also before what comes earlier in the stream."""
+    from wirepost.operators import flows, reassembly
+
+    c, s = ("10.0.0.9", 40000), lambda i: (f"10.0.2.{i}", 8080)
+    sent = [[(1, b"2"), (2, b"20 hi")], [(3, b"0 hi"), (1, b"22")], [(10, b"220 "), (5, b"x")], [(1, b"22"), (4, b" ")], [(1, b"+"), (1, b"-"), (2, b"OK")], [(1, b"-"), (1, b"+OK")], [(1, b"\x16"), (2, b"\3")], [(1, b"HTTP")]]
+    packets = [ethernet(tcp(s(i), c, seq, data)) for i, parts in enumerate(sent) for seq, data in parts]
+    segments = captures.segments(captures.frames(spark.createDataFrame([("c", pcap(packets))], "capture string, content binary")))
+    rows = flows.stream_segments(flows.generations(segments))
+    got = {r.flow.split("10.0.2.")[1][0] for r in reassembly.candidates(rows, analysis.PREFIXES).collect()}
+    assert got == set("012") | {"4", "6"}
+
+
+def test_budget_leaves_flows_incomplete(spark):
+    up, down = lambda x: (True, x), lambda x: (False, x)
+    long = conversation(("10.0.0.2", 25), down(b"220 mx ESMTP\r\n"), up(b"EHLO c\r\n"), down(b"250 mx\r\n"), up(b"AUTH PLAIN abc\r\n"))
+    packets = spark.createDataFrame([("c", pcap(long))], "capture string, content binary")
+    whole = analysis.analyse(packets).sessions.first()
+    cut = analysis.analyse(packets, Budget(each=25)).sessions.first()
+    assert (whole.auth_cleartext, whole.incomplete) == (True, False) and (cut.auth_cleartext, cut.incomplete) == (False, True)

@@ -38,7 +38,7 @@ def required_tier(tier: Column) -> Column:
 
 def weakest(*tiers: Column) -> Column:
     """The weakest of some tiers; nulls count as the weakest there is."""
-    worst = F.greatest(*(F.coalesce(rank(t, TIERS), F.lit(len(TIERS) - 1)) for t in tiers))
+    worst = F.greatest(F.lit(0), *(F.coalesce(rank(t, TIERS), F.lit(len(TIERS) - 1)) for t in tiers))
     return lookup(worst, dict(enumerate(TIERS)))
 
 
