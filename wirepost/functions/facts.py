@@ -17,8 +17,16 @@ DEPRECATED_VERSIONS = ("SSL3.0", "TLS1.0", "TLS1.1")
 MAIL_PROTOCOLS = ("smtp", "imap", "pop3")
 
 
+def sql_literal(value: object) -> str:
+    return "NULL" if value is None else str(value).lower() if isinstance(value, bool) else str(value) if isinstance(value, int) else "'" + str(value).replace("'", "\\'") + "'"
+
+
 def lookup(column: Column, table: dict, default=None) -> Column:
-    """table[column], default for other values."""
+    """table[column], default for other values. Large tables of code points become one map."""
+    if len(table) > 8 and all(isinstance(k, int) for k in table):
+        entries = ", ".join(f"{k}, {sql_literal(v)}" for k, v in table.items())
+        found = F.try_element_at(F.expr(f"map({entries})"), column.cast("int"))
+        return found if default is None else F.coalesce(found, F.lit(default))
     out = F.lit(default)
     for key, value in reversed(table.items()):
         out = F.when(column == key, F.lit(value)).otherwise(out)

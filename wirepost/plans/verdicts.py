@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import tls
-from ..operators import analysis, flows, verdicts
+from ..operators import flows, verdicts
 from ..sources import captures
 from .bridge import table
 from .text import SAMPLES, _SQL_SAMPLES
@@ -69,17 +69,6 @@ def src_05(s, d):
     return captures.health(read_back(s, d)).select(F.col("capture").cast("long").alias("conv"), "frames", "tcp_segments", "ipv4", "frames_decoded_pct", "analysis_status")
 
 
-def win_05(s, d):
-    rows = flows.flow_table(flows.generations(read_back(s, d)))
-    return rows.select(F.col("capture").cast("long").alias("conv"), "generation", "first_frame", "last_frame", "segments", "bytes", "midstream", "stream")
-
-
-def analysis_sessions(s, d):
-    """The whole way from captures to scored sessions; conversations hold no mail, so it is the port that keeps them."""
-    rows = analysis.analyse(as_captures(s, d)).sessions
-    return rows.select(F.col("capture").cast("long").alias("conv"), "protocol", "protocol_tier", "verdict", "auth_cleartext", "cert_status", "observed_risk", "risk_band")
-
-
 def flow_segments(s, d):
     """Flows to segments of one direction: sequence numbers run on without a hole."""
     rows = flows.stream_segments(flows.generations(read_back(s, d)))
@@ -230,14 +219,11 @@ _R = {r: f"CASE WHEN delta >= 2 THEN 'critical' ELSE '{s}' END" if r == "TLS-VER
 _MET = ("version IN ('SSL3.0', 'TLS1.0', 'TLS1.1')", "delta >= 2", "cbc", "version <> 'TLS1.3' AND fs = 'NO'", "status = 'INVALID' AND expired", "status = 'INVALID' AND self_signed", "key_strength = 'INVALID'", "hybrid")
 _SIGNAL_MET = ("downgrade_anomaly", "downgrade_legacy_client", "session % 53 = 0", "fs = 'NO'", "early_data_offered", "ech_offered", "ocsp = 'requested_not_provided'")
 
-QUERIES = {"src_02": src_02, "src_03": lambda s, d: src_02(s, d, "pcapng"), "analysis_sessions": analysis_sessions, "src_05": src_05, "win_05": win_05, "flow_segments": flow_segments, "dom_01": dom_01, "dom_04": dom_04, "dom_06": dom_06, "dom_07": dom_07, "dom_08": dom_08}
+QUERIES = {"src_02": src_02, "src_03": lambda s, d: src_02(s, d, "pcapng"), "src_05": src_05, "flow_segments": flow_segments, "dom_01": dom_01, "dom_04": dom_04, "dom_06": dom_06, "dom_07": dom_07, "dom_08": dom_08}
 ORACLES = {
-    "analysis_sessions": """SELECT DISTINCT conv_id AS conv, 'unknown' AS protocol, 'NOT_OBSERVABLE' AS protocol_tier, 'not_used' AS verdict, false AS auth_cleartext, 'NOT_OBSERVABLE' AS cert_status,
-        CAST(0 AS INTEGER) AS observed_risk, 'low' AS risk_band FROM conversations WHERE conv_id IS NOT NULL""",
     "src_02": f"{PIECES} SELECT conv, frame, turn, size, CAST(40 AS INTEGER) AS payload_off, lower(hex) AS payload FROM f",
     "src_03": f"{PIECES} SELECT conv, frame, turn, size, CAST(40 AS INTEGER) AS payload_off, lower(hex) AS payload FROM f",
     "src_05": f"{PIECES} SELECT conv, count(*) AS frames, count(*) AS tcp_segments, count(*) AS ipv4, CAST(100 AS DOUBLE) AS frames_decoded_pct, 'complete' AS analysis_status FROM f GROUP BY conv",
-    "win_05": f"{PIECES} SELECT conv, CAST(0 AS INTEGER) AS generation, min(frame) AS first_frame, max(frame) AS last_frame, count(*) AS segments, CAST(sum(size) AS BIGINT) AS bytes, true AS midstream, CAST(0 AS BIGINT) AS stream FROM f GROUP BY conv",
     "flow_segments": f"{PIECES} SELECT conv, CASE WHEN role = 'user' THEN 'c2s' ELSE 's2c' END AS dir, count(*) AS segments, CAST(1 AS BIGINT) AS first_seq, CAST(1 + sum(size) AS BIGINT) AS next_seq FROM f GROUP BY conv, role = 'user'",
     "dom_01": DOM_01,
     "dom_04": f"{SIGNALS} SELECT * FROM g",
