@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import anomaly
+from ..tables import stage
 from .bridge import table
 
 #: Captures whose sizes the driver deals to folds; more are an error.
@@ -34,9 +35,9 @@ def parts(s, d):
 
 
 def scored(s, d):
-    """(id, score, label); kept, as the statistics of scores read them several times."""
+    """(id, score, label); written once, as the statistics of scores read them several times."""
     rows = anomaly.scores(parts(s, d)).withColumn("score", F.round("score", 6))
-    return rows.join(table(s, d, "embeddings").select(F.col("vec_id").alias("id"), "label"), "id").persist()
+    return stage(rows.join(table(s, d, "embeddings").select(F.col("vec_id").alias("id"), "label"), "id"), "scores")
 
 
 def agg_24(s, d):

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..operators import asof, reassembly
+from ..functions.tracking import Budget
+from ..operators import asof, reassembly, tracking
 from .bridge import SEGMENTS_SQL, SENT_SQL, segments, table
 
 #: Openings, in hexadecimal, that make a flow a candidate here.
@@ -48,6 +49,16 @@ def events(s, d):
     return table(s, d, "events")
 
 
+#: Flows that the table of win_15 holds.
+HELD = 40
+
+
+def win_15(s, d):
+    """events as packets: users are flows, types captures; each stay of a flow in a table of HELD flows that gives up the one touched longest ago."""
+    rows = events(s, d).select(F.col("event_type").alias("capture"), F.col("user_id").alias("flow"), F.col("event_id").alias("frame"), F.octet_length(F.coalesce("props", F.lit(""))).alias("size"))
+    return tracking.stays(tracking.recency(rows, Budget(flows=HELD)))
+
+
 def agg_02(s, d):
     kinds = s.createDataFrame([(k,) for k in ("signup", "error", "view", "nosuch")], "event_type string")
     counted = events(s, d).groupBy("event_type").agg(F.count("*").alias("n"))
@@ -113,6 +124,7 @@ QUERIES = {
     "win_04": win_04,
     "win_06": lambda s, d: _dense(events(s, d).groupBy("user_id").agg(F.min("event_id").alias("first_event"))),
     "win_10": win_10,
+    "win_15": win_15,
     "reassembly_tidy": lambda s, d: reassembly.tidy_streams(segments(s, d)),
 }
 SEG = f"WITH {SENT_SQL}, g AS ({SEGMENTS_SQL}), z AS (SELECT *, length(hex) // 2 AS size FROM g WHERE hex <> '')"
@@ -172,5 +184,11 @@ ORACLES = {
     "win_04": f"{ISL} SELECT flow, dir, start, size, sha256(bytes) AS sha FROM k WHERE island = 1",
     "win_06": "SELECT user_id, row_number() OVER (ORDER BY m) AS stream FROM (SELECT user_id, min(event_id) AS m FROM events GROUP BY user_id)",
     "win_10": "SELECT event_id, CAST(round_even((epoch_us(ts) - epoch_us(min(ts) OVER (PARTITION BY user_id))) / 1000.0, 0) AS BIGINT) AS t_ms FROM events",
+    "win_15": f"""
+        WITH e AS (SELECT event_type AS capture, CAST(user_id AS VARCHAR) AS flow, event_id AS frame, lead(event_id) OVER (PARTITION BY event_type, user_id ORDER BY event_id) AS again FROM events),
+        o AS (SELECT a.capture, a.flow, a.frame, b.flow AS other, min(b.frame) AS seen FROM e a JOIN e b ON a.capture = b.capture AND b.frame > a.frame AND (a.again IS NULL OR b.frame < a.again) GROUP BY ALL),
+        g AS (SELECT capture, flow, frame, seen AS evicted_at FROM (SELECT *, row_number() OVER (PARTITION BY capture, flow, frame ORDER BY seen) AS n FROM o) WHERE n = {HELD}),
+        t AS (SELECT e.*, evicted_at, count(evicted_at) OVER (PARTITION BY e.capture, e.flow ORDER BY e.frame) - CAST(evicted_at IS NOT NULL AS INTEGER) AS stay FROM e LEFT JOIN g ON e.capture = g.capture AND e.flow = g.flow AND e.frame = g.frame)
+        SELECT capture, flow, min(frame) AS first, count(*) AS kept, CAST(0 AS BIGINT) AS left, max(evicted_at) AS evicted_at FROM t GROUP BY capture, flow, stay""",
     "reassembly_tidy": f"{SEG}, t AS (SELECT flow, dir, seq = lag(seq + size) OVER (PARTITION BY flow, dir ORDER BY seq, frame) AS f FROM z) SELECT flow, dir, bool_and(coalesce(f, true)) AS tidy FROM t GROUP BY ALL",
 }
