@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..operators import anomaly
+from ..operators import anomaly, experiments
 from ..tables import stage
 from .bridge import table
 
@@ -87,13 +87,51 @@ def agg_29(s, d):
     return rows.groupBy("label").agg(F.max("score").alias("highest")).join(middle, "label").select("label", F.round("median", 4).alias("median"), "highest")
 
 
+#: Seeds, and the features that a seed's model looks at.
+SEEDS = (1, 2, 3, 4, 5)
+
+
+def seeded(s, d):
+    """(label, seed, id, score): histogram scores over the features that each seed looks at."""
+    looked_at = F.filter(F.array(*map(F.lit, SEEDS)), lambda n: (F.col("feature") * 7 + n * 11) % 3 > 0)
+    rows = parts(s, d).select("id", "part", F.explode(looked_at).alias("seed")).groupBy("id", "seed").agg(F.round(F.sum("part"), 6).alias("score"))
+    return rows.join(table(s, d, "embeddings").select(F.col("vec_id").alias("id"), "label"), "id")
+
+
 def agg_32(s, d):
-    """Mean overlap of the ten highest rows of the captures' score under two orders."""
-    a = Window.partitionBy("label").orderBy(F.desc("score"), "id")
-    b = Window.partitionBy("label").orderBy(F.desc(F.round("score", 0)), "id")
-    tops = scored(s, d).withColumns({"r1": F.row_number().over(a), "r2": F.row_number().over(b)}).where("r1 <= 10 or r2 <= 10")
-    both = tops.groupBy("label").agg(F.count_if((F.col("r1") <= 10) & (F.col("r2") <= 10)).alias("same"), F.count("*").alias("all"))
-    return both.agg(F.round(F.avg(F.col("same") / F.col("all")), 6).alias("jaccard"))
+    """Mean overlap of the ten highest rows of a capture between models of five seeds."""
+    return experiments.stability(experiments.tops(seeded(s, d), ["label", "seed"], 10), ["label"]).withColumn("jaccard", F.round("jaccard", 9))
+
+
+def srt_10(s, d):
+    """The five highest rows of each capture for each seed."""
+    return experiments.tops(seeded(s, d), ["label", "seed"], 5).groupBy("label", "seed").agg(F.sort_array(F.collect_list("id")).alias("ids"))
+
+
+def forest_stability(s, d):
+    """Mean overlap of the ten rows that forests of five seeds set apart most easily."""
+    vectors = table(s, d, "embeddings").select(F.col("vec_id").alias("id"), F.transform("embedding", lambda x: x.cast("double")).alias("features"))
+    scores = experiments.isolation(vectors, experiments.forests(vectors, list(SEEDS)))
+    return experiments.stability(experiments.tops(scores.withColumnRenamed("isolation", "score"), ["seed"], 10))
+
+
+#: What is planted: features set to values far outside, to the edge, or near the rest.
+PLANTS = {"far_below": {0: -1e6, 2: -1e6}, "beyond": {f: "high * 16 + 1000" for f in range(0, 20, 3)}, "one_odd": {5: "high + 1"}, "at_the_edge": {1: "high", 4: "high"}, "unchanged": {}}
+MASKS = {"even": [0], "odd": [1], "both": [0, 1]}
+
+
+def dom_15(s, d):
+    """Rank of planted rows among test rows, by component mask: models fitted on captures of the first third, scaled by the second, tested on the last."""
+    every = cells(s, d)
+    third = lambda k: every.where(F.col("label") % 3 == k)
+    component = F.col("feature") % 2
+    fitted = stage(anomaly.histogram(third(0).select("id", "feature", "value")), "fitted")
+    scale = experiments.scales(experiments.component_scores(third(1), fitted, component))
+    kinds = {kind: {f: F.expr(str(v)).cast("double") for f, v in settings.items()} for kind, settings in PLANTS.items()}
+    plants = experiments.planted(third(2), kinds).withColumnRenamed("kind", "id")
+    test = experiments.ensembles(experiments.component_scores(third(2), fitted, component), scale, MASKS)
+    found = experiments.recall(test, experiments.ensembles(experiments.component_scores(plants, fitted, component), scale, MASKS))
+    return found
 
 
 def dom_13(s, d):
@@ -126,6 +164,8 @@ def dom_14(s, d):
 
 QUERIES = {
     "dom_14": dom_14,
+    "dom_15": dom_15,
+    "forest_stability": forest_stability,
     "agg_23": agg_23,
     "agg_24": agg_24,
     "agg_25": agg_25,
@@ -143,9 +183,25 @@ QUERIES = {
     "mth_08": lambda s, d: cells(s, d).where("feature in (0, 7, 14)").groupBy("id").agg((F.count("value") == 0).alias("abstains")),
     "srt_08": lambda s, d: anomaly.top_factors(parts(s, d).withColumn("part", F.round("part", 6))),
     "srt_09": _srt_09,
-    "srt_10": lambda s, d: scored(s, d).withColumn("r", F.row_number().over(Window.partitionBy("label").orderBy(F.desc("score"), "id"))).where("r <= 5").groupBy("label").agg(F.sort_array(F.collect_list("id")).alias("ids")),
+    "srt_10": srt_10,
     "win_11": win_11,
 }
+SEEDED = f"{HIST}, se AS (SELECT id, label, seed, round(sum(part), 6) AS score FROM pt, (SELECT unnest({list(SEEDS)}) AS seed) WHERE (feature * 7 + seed * 11) % 3 > 0 GROUP BY ALL)"
+_SETTINGS = " ".join(f"WHEN kind = '{kind}' AND feature = {f} THEN {v}" for kind, settings in PLANTS.items() for f, v in settings.items())
+PLANTED = f"""{C}, st AS (SELECT feature, min(value) AS low, max(value) AS high, count(*) AS n, quantile_cont(value, 0.25) AS q1, quantile_cont(value, 0.75) AS q3 FROM c WHERE label % 3 = 0 AND value IS NOT NULL GROUP BY feature),
+    ed AS (SELECT *, CASE WHEN q3 > q1 THEN greatest(2, least(10, CAST(ceil((high - low) / (2 * (q3 - q1) / cbrt(n))) AS INTEGER))) ELSE 2 END AS bins FROM st WHERE high > low),
+    dn AS (SELECT feature, least(CAST(floor((value - low) / (high - low) * bins) AS INTEGER), bins - 1) AS bin, (count(*) + 1.0::DOUBLE) / (any_value(n) + 1.0::DOUBLE * (any_value(bins) + 1)) AS density
+           FROM c JOIN ed USING (feature) WHERE label % 3 = 0 AND value IS NOT NULL GROUP BY ALL),
+    base AS (SELECT arg_min(id, (-seen, id)) AS id FROM (SELECT id, count(value) AS seen FROM c WHERE label % 3 = 2 GROUP BY id)),
+    hi AS (SELECT feature, max(value) AS high FROM c WHERE label % 3 = 2 GROUP BY feature),
+    own AS (SELECT kind, feature, CAST(CASE {_SETTINGS} ELSE value END AS DOUBLE) AS value FROM c JOIN base USING (id) JOIN hi USING (feature), (SELECT unnest({list(PLANTS)}) AS kind)),
+    rw AS (SELECT CAST(id AS VARCHAR) AS id, label % 3 AS third, feature, value FROM c UNION ALL SELECT kind, 3, feature, value FROM own),
+    pp AS (SELECT rw.id, third, rw.feature % 2 AS component, CASE WHEN value IS NULL THEN 0.0::DOUBLE WHEN value < low OR value > high OR density IS NULL THEN -ln(1.0::DOUBLE / (n + bins + 1)) ELSE -ln(density) END AS part
+           FROM rw JOIN ed ON rw.feature = ed.feature LEFT JOIN dn ON dn.feature = rw.feature AND dn.bin = CASE WHEN value BETWEEN low AND high THEN least(CAST(floor((value - low) / (high - low) * bins) AS INTEGER), bins - 1) END),
+    cs AS (SELECT id, third, component, round(sum(part), 6) AS score FROM pp GROUP BY ALL),
+    md AS (SELECT component, median(score) AS med FROM cs WHERE third = 1 GROUP BY component),
+    sd AS (SELECT component, any_value(med) AS med, median(abs(score - med)) * 1.4826 AS mad FROM cs JOIN md USING (component) WHERE third = 1 GROUP BY component),
+    zs AS (SELECT mask, id, third, coalesce(max(CASE WHEN mad > 0 THEN round((score - med) / mad, 6) END), 0.0) AS score FROM cs JOIN sd USING (component) JOIN (VALUES ('even', 0), ('odd', 1), ('both', 0), ('both', 1)) m(mask, of) ON of = component GROUP BY mask, id, third)"""
 ROB = f"{HIST}, m AS (SELECT median(score) AS med FROM sc), r AS (SELECT any_value(med) AS med, median(abs(score - med)) * 1.4826 AS mad FROM sc, m)"
 ORACLES = {
     "agg_23": f"{C}, x AS (SELECT * FROM c WHERE feature = 0 AND value IS NOT NULL) SELECT label, value, round(count(*) / sum(count(*)) OVER (PARTITION BY label), 9) AS share FROM x GROUP BY label, value",
@@ -154,12 +210,18 @@ ORACLES = {
     "agg_26": f"{HIST}, k AS (SELECT label, score, row_number() OVER (PARTITION BY label ORDER BY score) - 1 AS i, count(*) OVER (PARTITION BY label) AS n FROM sc) SELECT label, score AS threshold FROM k WHERE i = CAST(ceil(0.99 * (n - 1)) AS BIGINT)",
     "agg_27": f"{HIST} SELECT a.id, round(100.0 * (count(*) FILTER (WHERE b.score < a.score) + 0.5 * count(*) FILTER (WHERE b.score = a.score)) / count(*), 6) AS percentile FROM sc a JOIN sc b ON a.label = b.label GROUP BY a.id",
     "agg_29": f"{HIST} SELECT label, round(median(score), 4) AS median, max(score) AS highest FROM sc GROUP BY label",
-    "agg_32": f"""{HIST}, k AS (SELECT label, row_number() OVER (PARTITION BY label ORDER BY score DESC, id) AS r1, row_number() OVER (PARTITION BY label ORDER BY round(score, 0) DESC, id) AS r2 FROM sc),
-        j AS (SELECT label, count(*) FILTER (WHERE r1 <= 10 AND r2 <= 10) / count(*) AS x FROM k WHERE r1 <= 10 OR r2 <= 10 GROUP BY label) SELECT round(avg(x), 6) AS jaccard FROM j""",
+    "agg_32": f"""{SEEDED}, k AS (SELECT label, seed, id FROM (SELECT *, row_number() OVER (PARTITION BY label, seed ORDER BY score DESC, id) AS r FROM se) WHERE r <= 10),
+        n AS (SELECT label, seed, count(*) AS n FROM k GROUP BY ALL),
+        j AS (SELECT a.label, a.n + b.n AS n_both, (SELECT count(*) FROM k x JOIN k y ON x.label = y.label AND x.id = y.id WHERE x.label = a.label AND x.seed = a.seed AND y.seed = b.seed) AS common
+              FROM n a JOIN n b ON a.label = b.label AND a.seed < b.seed)
+        SELECT label, count(*) AS pairs, round(avg(common / (n_both - common)), 9) AS jaccard FROM j GROUP BY label""",
     "dom_14": f"""{HIST}, k AS (SELECT id, label, score, row_number() OVER (PARTITION BY label ORDER BY score) - 1 AS i, count(*) OVER (PARTITION BY label) AS n FROM sc),
         t AS (SELECT label, score AS threshold FROM k WHERE i = CAST(ceil(0.99 * (n - 1)) AS BIGINT)),
         p AS (SELECT a.id, 100.0 * (count(*) FILTER (WHERE b.score < a.score) + 0.5 * count(*) FILTER (WHERE b.score = a.score)) / count(*) AS percentile FROM sc a JOIN sc b ON a.label = b.label GROUP BY a.id)
         SELECT sc.id, score, score >= threshold AS is_anomaly, round(percentile, 6) AS percentile, score >= threshold AND sc.id % 3 = 0 AS disagrees FROM sc JOIN t USING (label) JOIN p ON sc.id = p.id""",
+    "dom_15": f"""{PLANTED}
+        SELECT p.mask, p.id AS kind, count(*) FILTER (WHERE t.score >= p.score) + 1 AS rank, count(*) + 1 AS total, count(*) FILTER (WHERE t.score >= p.score) + 1 <= 10 AS in_top
+        FROM zs p JOIN zs t ON p.mask = t.mask AND t.third = 2 WHERE p.third = 3 GROUP BY p.mask, p.id""",
     "dom_13": """WITH RECURSIVE s AS (SELECT label, count(*) AS n, row_number() OVER (ORDER BY count(*) DESC, label) AS i FROM embeddings GROUP BY label),
         r AS (SELECT CAST(0 AS BIGINT) AS i, CAST(0 AS BIGINT) AS a, CAST(0 AS BIGINT) AS b, CAST(0 AS BIGINT) AS c, -1 AS fold, CAST(0 AS BIGINT) AS n
             UNION ALL
@@ -175,6 +237,6 @@ ORACLES = {
     "mth_08": f"{C} SELECT id, count(value) = 0 AS abstains FROM c WHERE feature IN (0, 7, 14) GROUP BY id",
     "srt_08": f"{HIST}, q AS (SELECT id, feature, round(part, 6) AS part FROM pt WHERE part > 0), k AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY part DESC, feature) AS rank FROM q) SELECT id, CAST(rank AS INTEGER) AS rank, CAST(feature AS INTEGER) AS feature, part FROM k WHERE rank <= 3",
     "srt_09": f"{HIST} SELECT id, score FROM sc ORDER BY score DESC, id LIMIT 10",
-    "srt_10": f"{HIST}, k AS (SELECT id, label, row_number() OVER (PARTITION BY label ORDER BY score DESC, id) AS r FROM sc) SELECT label, list(id ORDER BY id) AS ids FROM k WHERE r <= 5 GROUP BY label",
+    "srt_10": f"{SEEDED} SELECT label, CAST(seed AS INTEGER) AS seed, list(id ORDER BY id) AS ids FROM (SELECT *, row_number() OVER (PARTITION BY label, seed ORDER BY score DESC, id) AS r FROM se) WHERE r <= 5 GROUP BY label, seed",
     "win_11": f"{HIST} SELECT a.id, count(*) AS rank FROM sc a JOIN sc b ON a.label = b.label AND b.score >= a.score GROUP BY a.id",
 }
