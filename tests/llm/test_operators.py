@@ -352,6 +352,75 @@ def test_license_spans(spark):
     assert rows[3].labels == "" and rows[3].score == 0
 
 
+def notice(program="program", kind="", version="3", sep=(":", ",")):
+    return f"This {program} is free software{sep[0]} you can redistribute it and/or modify it under the terms of the GNU {kind}General Public License as published by the Free Software Foundation{sep[1]} either version {version} of the License, or (at your option) any later version."
+
+
+@pytest.mark.parametrize(
+    ("text", "labels"),
+    [
+        (notice(), {"gpl"}),
+        (notice(version="2"), {"gpl"}),
+        (notice(kind="Affero "), {"agpl"}),
+        (notice(kind="Lesser "), {"lgpl"}),
+        (notice("library", "Lesser "), {"lgpl"}),
+        (notice("library", "Lesser ", "2.1", (";", ";")), {"lgpl"}),
+        ("Licensed under CC BY-NC 4.0", {"cc-by-nc"}),
+        ("Licensed under CC BY 4.0", {"cc-by"}),
+        ("Licensed under the GNU Affero General Public License", {"agpl"}),
+        (" ".join(licenses.TEMPLATES["bsd"]), {"bsd"}),
+        (" ".join(x for x in licenses.TEMPLATES["bsd"] if "Neither" not in x), {"bsd"}),
+        (" ".join(licenses.TEMPLATES["isc"]), {"isc"}),
+        (" ".join(licenses.TEMPLATES["boost"]), {"boost"}),
+        (" ".join(licenses.TEMPLATES["zlib"]), {"zlib"}),
+        (notice() + " and " + notice(kind="Lesser "), {"gpl", "lgpl"}),
+    ],
+)
+def test_licenses_that_differ_in_a_word(text, labels):
+    scanner = licenses.Scanner(3, 20, 0.8)
+    spans = scanner.scan(f"some words before {text} and after".encode())[7]
+    assert {s[0] for s in spans} == labels
+    changed = text.replace("redistribute", "spread", 1)
+    assert {s[0] for s in scanner.scan(changed.encode())[7]} == labels
+
+
+def test_matches_of_all_templates_as_brute_force(monkeypatch):
+    """Every common substring of a text and a template that can't be made longer to the right, and is longest to the left, is a piece."""
+    rng = random.Random(9)
+    templates = {"x": ["a b c a b d e", "c a b e f", "b b b a"], "y": ["d a b c e", "a b c a b d f"]}
+    listed = [(label, t.split()) for label, ts in sorted(templates.items()) for t in ts]
+    monkeypatch.setattr(licenses, "TEMPLATES", templates)
+    monkeypatch.setattr(licenses, "BASE_PHRASES", {"a b": "p"})
+    scanner = licenses.Scanner(2, 5, 0.6)
+    for _ in range(300):
+        said = [rng.choice("abcdefz") for _ in range(rng.randrange(25))]
+        want = {}
+        for t, (_, ws) in enumerate(listed):
+            for i in range(len(said)):
+                for p in range(len(ws)):
+                    n = 0
+                    while n <= min(i, p) and said[i - n] == ws[p - n]:
+                        n += 1
+                    goes_on = i + 1 < len(said) and p + 1 < len(ws) and said[i + 1] == ws[p + 1]
+                    if n >= 2 and not goes_on:
+                        want.setdefault(t, set()).add((i - n + 1, i + 1, p - n + 1, p + 1))
+        got = {}
+        monkeypatch.setattr(scanner, "spans", lambda t, ps, got=got: got.update({t: set(ps)}) or [])
+        scanner.scan(" ".join(said).encode())
+        assert got == want
+
+
+def test_the_better_of_overlapping_spans():
+    rng = random.Random(10)
+    for _ in range(300):
+        spans = [(rng.choice("abc"), s, s + rng.randrange(1, 9), 1.0, rng.choice((0.8, 0.9, 1.0))) for s in (rng.randrange(30) for _ in range(rng.randrange(12)))]
+        kept = []
+        for s in sorted(spans, key=lambda s: (-s[4], s[1] - s[2], s[1], s[0])):
+            over = [k for k in kept if k[0] != s[0] and (k[4], k[2] - k[1]) > (s[4], s[2] - s[1]) and 2 * (min(k[2], s[2]) - max(k[1], s[1])) >= min(k[2] - k[1], s[2] - s[1]) and min(k[2], s[2]) > max(k[1], s[1])]
+            kept += [] if over else [s]
+        assert sorted(licenses.best_of(iter(spans))) == sorted(kept)
+
+
 def test_matching_statistics():
     a = licenses.Automaton({"x": ["a b c a b d", "c a b e", "b b b"], "y": ["d a"]}, {"a b": "p", "b": "q"})
     texts = [t.split() for t in ("a b c a b d", "c a b e", "b b b", "d a", "a b", "b")]

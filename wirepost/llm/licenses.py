@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left, insort
 from collections.abc import Iterator
 
 import numpy as np
@@ -17,12 +18,13 @@ BASE_PHRASES = {
     "apache license": "apache",
     "general public license": "gpl",
 }
-#: Paragraphs of public licences and their usual notices, by the label that each gives. MIT, BSD, ISC, zlib,
-#: Boost and the Unlicense stand whole; of the longer ones there are the notices that files carry.
+#: Paragraphs of public licences and their usual notices, by the label that each gives. MIT, BSD, ISC, zlib and
+#: Boost stand whole, of the Unlicense there is the grant, of the longer ones the notices that files carry.
 TEMPLATES = {
     "agpl": [
         "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
         "Licensed under the GNU Affero General Public License",
+        "This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU Affero General Public License for more details.",
     ],
     "apache": [
         "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0",
@@ -32,11 +34,13 @@ TEMPLATES = {
     "boost": [
         "Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license (the Software) to use, reproduce, display, distribute, execute, and transmit the Software, and to prepare derivative works of the Software, and to permit third-parties to whom the Software is furnished to do so, all subject to the following:",
         "The copyright notices in the Software and this entire statement, including the above license grant, this restriction and the following disclaimer, must be included in all copies of the Software, in whole or in part, and all derivative works of the Software, unless such copies or derivative works are solely in the form of machine-executable object code generated by a source language processor.",
+        "THE SOFTWARE IS PROVIDED AS IS, WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE, TITLE AND NON-INFRINGEMENT. IN NO EVENT SHALL THE COPYRIGHT HOLDERS OR ANYONE DISTRIBUTING THE SOFTWARE BE LIABLE FOR ANY DAMAGES OR OTHER LIABILITY, WHETHER IN CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.",
     ],
     "bsd": [
         "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met",
         "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.",
         "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.",
+        "THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS AS IS AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.",
     ],
     "cc-by": [
         "Licensed under CC BY 4.0",
@@ -50,18 +54,26 @@ TEMPLATES = {
         "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
         "This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details.",
         "Licensed under the GNU General Public License",
+        "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version.",
     ],
     "isc": [
         "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
+        "THE SOFTWARE IS PROVIDED AS IS AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.",
     ],
     "lgpl": [
         "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version.",
         "Licensed under the GNU Lesser General Public License",
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+        "This library is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+        "This program is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version.",
+        "This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU Lesser General Public License for more details.",
+        "This library is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU Lesser General Public License for more details.",
     ],
     "mit": [
-        "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the Software), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software",
+        "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the Software), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:",
         "THE SOFTWARE IS PROVIDED AS IS, WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.",
         "Licensed under the MIT License",
+        "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.",
     ],
     "mpl": [
         "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/.",
@@ -77,6 +89,8 @@ TEMPLATES = {
     "zlib": [
         "This software is provided as-is, without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software.",
         "Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions",
+        "The origin of this software must not be misrepresented; you must not claim that you wrote the original software. If you use this software in a product, an acknowledgment in the product documentation would be appreciated but is not required.",
+        "Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software. This notice may not be removed or altered from any source distribution.",
     ],
 }
 #: Separators become spaces, A-Z lower case; all other bytes stay, so words hold ASCII letters, digits and non-ASCII bytes.
@@ -117,6 +131,12 @@ class Automaton:
         for s in sorted(range(1, len(self.link)), key=self.length.__getitem__):
             self.said[s] = self.said[s] + self.said[self.link[s]]
         self.ends = [{x for x in e if x[0] < first} for e in self.ends]
+        self.tokens = [[self.vocabulary[w] for w in ws] for _, ws in texts]
+        #: (template, place of the last word, longest length) of all matches that end where one in this state does.
+        self.found: list[list[tuple[int, int, int]]] = [[] for _ in self.link]
+        for s in sorted(range(1, len(self.link)), key=self.length.__getitem__):
+            shorter = self.link[s]
+            self.found[s] = [(*x, self.length[s]) for x in sorted(self.ends[s])] + [x for x in self.found[shorter] if x[:2] not in self.ends[s]]
 
     def extend(self, last: int, c: int) -> int:
         """Append word c after state `last`, also where other templates share it."""
@@ -182,10 +202,14 @@ class Scanner:
                 for i, (state, n) in enumerate(seen):
                     at = int(run[0]) + i
                     base += [(at - a.phrases[p][1] + 1, p) for p in a.said[state] if n >= a.phrases[p][1]]
-                    if n >= self.least and (i + 1 == len(seen) or seen[i + 1][1] <= n):  # a match that can't be extended
-                        for t, p in a.ends[state]:
-                            pieces.setdefault(t, []).append((at - n + 1, at + 1, p - n + 1, p + 1))
-        spans = [s for t, ps in sorted(pieces.items()) for s in self.spans(t, ps)]
+                    if n < self.least:
+                        continue
+                    after = int(ids[run[i + 1]]) if i + 1 < len(seen) else -1
+                    for t, p, most in a.found[state]:  # each template's longest match that ends here, unless it goes on
+                        size = min(n, most)
+                        if size >= self.least and (p + 1 == a.lengths[t] or a.tokens[t][p + 1] != after):
+                            pieces.setdefault(t, []).append((at - size + 1, at + 1, p - size + 1, p + 1))
+        spans = [s[:4] for s in best_of(s for t, ps in sorted(pieces.items()) for s in self.spans(t, ps))]
         base_labels = sorted({a.phrases[p][0] for _, p in base})
         starts = [s for s, _ in base]
         labels = sorted({*base_labels, *(s[0] for s in spans)})
@@ -193,7 +217,8 @@ class Scanner:
         return len(words), len(base), min(starts, default=None), max(starts, default=None), ",".join(base_labels), ",".join(labels), max(score, 1.0 if base else 0.0), spans
 
     def spans(self, t: int, pieces: list[tuple[int, int, int, int]]) -> list[tuple]:
-        """All spans of template t (label, start, end, share): one for each stretch of text that goes through it once.
+        """All spans of template t (label, start, end, share, fit): one for each stretch of text that goes through it once. fit is the
+        share of covered words in the longer one of template and stretch, so a word that the template doesn't have counts against it.
 
         A stretch ends where matches are more than `gap` words apart, and where one begins after a chain that is good enough
         and goes back in the template.
@@ -210,7 +235,26 @@ class Scanner:
             chain.add(piece)
         out.append(chain.best)
         length = self.a.lengths[t]
-        return [(self.a.labels[t], start, end, min(1.0, covered / length)) for covered, start, end, _ in out if covered >= self.share * length]
+        return [(self.a.labels[t], start, end, min(1.0, covered / length), min(1.0, covered / max(length, end - start))) for covered, start, end, _ in out if covered >= self.share * length]
+
+
+def best_of(spans: Iterator[tuple]) -> list[tuple]:
+    """The spans (label, start, end, share, fit) less those that share half of themselves or more with a better one of another
+    label: one that fits better, or as well over more words. Of licences that differ in a word, the one that has it stays."""
+    kept: list[tuple] = []  # by start
+    longest = 0
+    for s in sorted(spans, key=lambda s: (-s[4], s[1] - s[2], s[1], s[0])):
+        worse = False
+        for k in kept[bisect_left(kept, (s[1] - longest,)) :]:
+            start, end, label, fit = k[0], k[1], k[2], k[3]
+            if start >= s[2]:
+                break
+            better = (fit, end - start) > (s[4], s[2] - s[1])
+            worse = worse or (better and label != s[0] and 2 * (min(end, s[2]) - max(start, s[1])) >= min(end - start, s[2] - s[1]))
+        if not worse:
+            insort(kept, (s[1], s[2], s[0], s[4], s[3]))
+            longest = max(longest, s[2] - s[1])
+    return [(label, start, end, share, fit) for start, end, label, fit, share in kept]
 
 
 class Chain:
@@ -271,7 +315,7 @@ def scan_licenses(docs: DataFrame, least: int = 3, gap: int = 20, share: float =
     Words are runs of ASCII letters, digits and non-ASCII characters after A-Z are lower-cased. n_base counts all places of
     BASE_PHRASES; first_word and last_word are the smallest and largest start, else null. A template gives its label if a
     chain of matches of at least `least` words, at most `gap` words apart, covers at least `share` of its words; spans lists
-    these, each copy of a template its own. score is 1 if there is a base phrase, else the largest covered share of a listed span (0 if none). Null and empty
+    these, each copy of a template its own; of spans that share half of themselves or more the one that fits best stays. score is 1 if there is a base phrase, else the largest covered share of a listed span (0 if none). Null and empty
     texts have no words; labels are then empty strings. Repeated rows and null ids each give a row. One narrow pass.
     """
 
