@@ -182,6 +182,14 @@ def test_from_captures_to_reports(spark):
     assert reports["two"]["summary"]["sessions_total"] == 1 and reports["none"]["summary"]["sessions_total"] == 0 and set(reports) == {"one", "two", "none"}
     assert not reports["none"]["summary"]["findings_assessed"]
     assert {r.capture: r.analysis_status for r in found.health.collect()} == {"one": "complete", "two": "complete", "none": "unreadable"}
+    inventories = {r.capture: json.loads(r.document) for r in found.inventories.collect()}
+    assert set(inventories) == {"one"}
+    parts = {c["bom-ref"]: c for c in inventories["one"]["components"]}
+    assert {r for r in parts if "protocol" in r} == {"crypto/protocol/TLS-1.2@mx@10.0.0.2:25", "crypto/protocol/TLS-1.3@10.0.0.4:993"}
+    old_tls = parts["crypto/protocol/TLS-1.2@mx@10.0.0.2:25"]
+    assert [x["identifiers"] for x in old_tls["cryptoProperties"]["protocolProperties"]["cipherSuites"]] == [["0xC0", "0x2F"]] and old_tls["evidence"]["occurrences"][0]["location"] == "frame 9"
+    assert parts["crypto/algorithm/X25519MLKEM768-kem"]["cryptoProperties"]["algorithmProperties"]["nistQuantumSecurityLevel"] == 3
+    assert {e["ref"]: e["provides"] for e in inventories["one"]["dependencies"]}["crypto/protocol/TLS-1.3@10.0.0.4:993"] == ["crypto/algorithm/AES-128-GCM-ae"]
     packets, proof = upgraded + clear + hidden + web + mailbox, {}
     for f in found.findings.where("capture = 'one'").collect():
         assert f.tier == "OBSERVED" and f.evidence and f.reason is None
@@ -192,6 +200,24 @@ def test_from_captures_to_reports(spark):
     assert proof[a.session, "CERT-EXPIRED"] == [cert(issuer="b", end="700101000000Z")]
 
 
+def test_command_line(spark, tmp_path, monkeypatch, capsys):
+    from wirepost import __main__ as command
+
+    clear = conversation(("10.0.0.3", 25), (False, b"220 mx ESMTP\r\n"), (True, b"EHLO c\r\n"), (False, b"250 mx\r\n"), (True, b"AUTH PLAIN abc\r\n"))
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.pcap").write_bytes(pcap(clear))
+    monkeypatch.setattr(type(spark), "stop", lambda self: None)
+    for more in ([], ["--ranges"]):
+        monkeypatch.setattr("sys.argv", ["wirepost", str(tmp_path / "in"), *more])
+        command.main()
+        told = json.loads(capsys.readouterr().out)
+        assert told["summary"]["cleartext"] == 1 and told["observed_risk"] == 90
+    monkeypatch.setattr("sys.argv", ["wirepost", str(tmp_path / "in"), str(tmp_path / "out")])
+    command.main()
+    assert {p.name for p in (tmp_path / "out").iterdir()} == {"reports", "servers", "sessions", "findings"} | ({"inventories"} if (tmp_path / "out" / "inventories").exists() else set())
+    assert spark.read.parquet(str(tmp_path / "out" / "findings")).count() == 2
+
+
 def sessions_of(spark, *conversations):
     packets = [p for c in conversations for p in c]
     found = analysis.analyse(spark.createDataFrame([("c", pcap(packets))], "capture string, content binary"))

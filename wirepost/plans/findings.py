@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import conditions, facts, tls
-from ..operators import certificates, correlation, findings, forest, handshakes, lines, reports
+from ..operators import certificates, correlation, findings, forest, handshakes, inventory, lines, reports
 from . import bridge, verdicts
+from . import correlation as correlation_plans
 from .bridge import OFFERS_SQL, SESSIONS_SQL, table
 from .scoring import SESS
 from .text import _SQL_SAMPLES, SAMPLES
@@ -206,6 +207,46 @@ USED = f"""WITH o AS ({OFFERS_SQL}), a AS (SELECT DISTINCT server, selected FROM
     i AS (SELECT DISTINCT server, lower(ref) AS ref, name, primitive FROM a JOIN m ON code = selected)"""
 
 
+def snk_05(s, d):
+    """Inventories of servers: what their matrix demonstrates, suites only with the version that one session chose with them."""
+    rows = bridge.offers(s, d)
+    matrix = correlation.support_matrix(rows, correlation.preference_modes(rows))
+    protocols = inventory.with_parts(inventory.spoken(rows, matrix)).withColumn("by", F.col("server")).withColumn("server", F.col("server").cast("string"))
+    groups = rows.where("session % 50 = 0").select(F.col("server").alias("by"), F.when(F.col("session") % 100 == 0, 0x11EC).otherwise(0x001D).alias("group_code")).distinct()
+    return inventory.documents(protocols, groups, "by")
+
+
+_SUITE = {c: [*(("ECDHE", "key-agree", None), ("RSA", "signature", None)), (f"AES-{n}-GCM", "ae", "gcm")] for c, n in ((bridge.SUITE_A, 128), (bridge.SUITE_B, 256))}
+_NAMES = {bridge.SUITE_A: "TLS_ECDHE_RSA_WITH_AES_128_GCM_SHA256", bridge.SUITE_B: "TLS_ECDHE_RSA_WITH_AES_256_GCM_SHA384"}
+
+
+def _algorithm_json(name, primitive, mode=None, level=None):
+    more = (f',"mode":"{mode}"' if mode else "") + (f',"nistQuantumSecurityLevel":{level}' if level is not None else "")
+    return f'{{"bom-ref":"crypto/algorithm/{name}-{primitive}","cryptoProperties":{{"algorithmProperties":{{"cryptoFunctions":["unknown"],"executionEnvironment":"unknown"{more},"primitive":"{primitive}"}},"assetType":"algorithm"}},"name":"{name}","type":"cryptographic-asset"}}'
+
+
+_SUITES_JSON = {c: f'{{"name":"{_NAMES[c]}","algorithms":[{",".join(chr(34) + f"crypto/algorithm/{n}-{p}" + chr(34) for n, p, _ in parts)}],"identifiers":["0xC0","0x{c & 255:02X}"]}}' for c, parts in _SUITE.items()}
+_GROUPS_SQL = {0x11EC: ("X25519MLKEM768", "kem", 3), 0x001D: ("x25519", "key-agree", 0)}
+SNK_05 = f"""WITH o AS ({bridge.OFFERS_SQL}), m AS (@MATRIX@),
+    sj AS (SELECT * FROM (VALUES {', '.join(f"({c}, '{j}')" for c, j in _SUITES_JSON.items())}) v(code, json)),
+    aj AS (SELECT * FROM (VALUES {', '.join(f"({c}, 'crypto/algorithm/{n}-{p}', '{_algorithm_json(n, p, m)}')" for c, parts in _SUITE.items() for n, p, m in parts)}) v(code, ref, json)),
+    gj AS (SELECT * FROM (VALUES {', '.join(f"({c}, 'crypto/algorithm/{n}-{p}', '{_algorithm_json(n, p, None, q)}')" for c, (n, p, q) in _GROUPS_SQL.items())}) v(code, ref, json)),
+    d AS (SELECT server, capability FROM m WHERE state = 'DEMONSTRATED'),
+    vs AS (SELECT server, version FROM (VALUES (771, 'version:0x0303'), (772, 'version:0x0304')) v(version, capability) JOIN d USING (capability)),
+    ps AS (SELECT DISTINCT o.server, o.version, o.selected FROM o JOIN vs ON o.server = vs.server AND o.version = vs.version JOIN d ON d.server = o.server AND d.capability = printf('cipher:0x%04x', o.selected)),
+    pc AS (SELECT vs.server, vs.version, 'crypto/protocol/TLS-' || CASE vs.version WHEN 771 THEN '1.2' ELSE '1.3' END || '@' || vs.server AS ref, CASE vs.version WHEN 771 THEN '1.2' ELSE '1.3' END AS label,
+                  coalesce(string_agg(sj.json, ',' ORDER BY selected), '') AS suites FROM vs LEFT JOIN ps ON vs.server = ps.server AND vs.version = ps.version LEFT JOIN sj ON sj.code = ps.selected GROUP BY vs.server, vs.version),
+    pv AS (SELECT server, version, list(DISTINCT ref ORDER BY ref) AS refs FROM ps JOIN aj ON aj.code = selected GROUP BY server, version),
+    cs AS (SELECT server, ref, '{{"bom-ref":"' || ref || '","cryptoProperties":{{"assetType":"protocol","protocolProperties":{{"cipherSuites":[' || suites || '],"type":"tls","version":"' || label || '"}}}},"name":"TLS ' || label || '","properties":[{{"name":"server","value":"' || server || '"}}],"type":"cryptographic-asset"}}' AS json FROM pc
+        UNION SELECT ps.server, aj.ref, aj.json FROM ps JOIN aj ON aj.code = selected
+        UNION SELECT server, ref, json FROM o JOIN gj ON code = CASE WHEN session % 100 = 0 THEN 4588 ELSE 29 END WHERE session % 50 = 0),
+    ed AS (SELECT pc.server, string_agg('{{"provides":[' || coalesce('"' || array_to_string(refs, '","') || '"', '') || '],"ref":"' || ref || '"}}', ',' ORDER BY coalesce(refs, []), ref) AS edges FROM pc LEFT JOIN pv ON pc.server = pv.server AND pc.version = pv.version GROUP BY pc.server),
+    sh AS (SELECT DISTINCT server, sha1(unhex('6ba7b8119dad11d180b400c04fd430c8') || encode('wirepost:cbom:' || server)) AS h FROM cs),
+    id AS (SELECT server, concat_ws('-', h[1:8], h[9:12], '5' || h[14:16], substr('89ab', CAST(CAST('0x' || h[17:17] AS INTEGER) % 4 + 1 AS BIGINT), 1) || h[18:20], h[21:32]) AS serial FROM sh)
+    SELECT cs.server AS by, '{{"bomFormat":"CycloneDX","components":[' || string_agg(json, ',' ORDER BY ref) || '],"dependencies":[' || coalesce(any_value(edges), '') || '],"serialNumber":"urn:uuid:' || any_value(serial) || '","specVersion":"1.6","version":1}}' AS document
+    FROM cs LEFT JOIN ed ON cs.server = ed.server JOIN id ON cs.server = id.server GROUP BY cs.server"""
+
+
 def snk_02(s, d):
     return reports.summaries(bridge.sessions(s, d), bridge.findings(s, d), "server")
 
@@ -355,7 +396,7 @@ QUERIES = {
     "jon_16": jon_16,
     "dom_09": dom_09,
     "agg_17": lambda s, d: reports.inventory(used(s, d), "server"),
-    "snk_05": lambda s, d: reports.components(reports.inventory(used(s, d), "server"), "server"),
+    "snk_05": snk_05,
     "snk_01": snk_01,
     "snk_02": snk_02,
     "agg_28": agg_28,
@@ -428,7 +469,7 @@ ORACLES = {
         n AS (SELECT server, c, count(DISTINCT session) FILTER (WHERE sign > 0) AS shown, count(DISTINCT session) FILTER (WHERE sign < 0) AS excluded FROM x GROUP BY ALL)
         SELECT DISTINCT server, session, 'version:0x0' || lower(to_hex(c)) AS capability, shown, excluded FROM x JOIN n USING (server, c) WHERE shown > 0 AND excluded > 0""",
     "agg_17": f"{USED} SELECT * FROM i",
-    "snk_05": f"""{USED} SELECT server, '{{"bomFormat":"CycloneDX","components":[' || string_agg('{{"bom-ref":"' || ref || '","name":"' || name || '","primitive":"' || primitive || '","type":"cryptographic-asset"}}', ',' ORDER BY ref) || '],"specVersion":"1.6"}}' AS document FROM i GROUP BY server""",
+    "snk_05": SNK_05.replace("@MATRIX@", correlation_plans.ORACLES["agg_19"]),
     "snk_02": f"""{SESS}, g AS (SELECT server, severity, count(*) AS n FROM ({bridge.FINDINGS_SQL}) GROUP BY ALL),
         m AS (SELECT server, string_agg('"' || severity || '":' || n, ',' ORDER BY severity) AS f FROM g GROUP BY server),
         t AS (SELECT server, count(*) AS n, count(*) FILTER (WHERE encrypted) AS e, count(*) FILTER (WHERE cleartext) AS c, count(*) FILTER (WHERE encrypted AND seen) AS o, count(*) FILTER (WHERE encrypted AND seen AND NOT safe) AS x FROM o GROUP BY server)
