@@ -68,11 +68,11 @@ def signals_only(code: int) -> bool:
 
 
 def properties(code: int) -> dict[str, bool]:
-    """What a suite's name says: static_kex (its key exchange has no forward secrecy), cbc, tls13."""
+    """What a suite's name says: static_kex (its key exchange has no forward secrecy), cbc, aead, tls13."""
     name = SUITES[code]
     if signals_only(code):
-        return {"static_kex": False, "cbc": False, "tls13": False}
-    return {"static_kex": name.startswith("TLS_RSA_"), "cbc": "_CBC_" in name, "tls13": "_WITH_" not in name}
+        return {"static_kex": False, "cbc": False, "aead": False, "tls13": False}
+    return {"static_kex": name.startswith("TLS_RSA_"), "cbc": "_CBC_" in name, "aead": "_GCM_" in name or "_POLY1305_" in name, "tls13": "_WITH_" not in name}
 
 
 def algorithms(code: int) -> list[tuple[str, str, str | None]]:

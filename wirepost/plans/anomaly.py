@@ -173,7 +173,6 @@ QUERIES = {
     "agg_27": agg_27,
     "agg_29": agg_29,
     "agg_32": agg_32,
-    "dom_12": lambda s, d: cells(s, d).groupBy("id").agg(F.count("value").alias("observed"), F.sum("value").alias("total")),
     "dom_13": dom_13,
     "flt_19": lambda s, d: anomaly.varying(cells(s, d)),
     "mth_04": lambda s, d: parts(s, d).select("id", "feature", F.round("part", 6).alias("part")),
@@ -228,7 +227,6 @@ ORACLES = {
             SELECT i, a + CASE fold WHEN 0 THEN n ELSE 0 END, b + CASE fold WHEN 1 THEN n ELSE 0 END, c + CASE fold WHEN 2 THEN n ELSE 0 END, fold, n
             FROM (SELECT s.i, s.n, a, b, c, CASE WHEN a <= b AND a <= c THEN 0 WHEN b <= c THEN 1 ELSE 2 END AS fold FROM r JOIN s ON s.i = r.i + 1))
         SELECT fold, CAST(sum(n) AS BIGINT) AS n, count(*) AS captures FROM r WHERE fold >= 0 GROUP BY fold""",
-    "dom_12": f"{C} SELECT id, count(value) AS observed, sum(value) AS total FROM c GROUP BY id",
     "flt_19": f"{C} SELECT CAST(feature AS INTEGER) AS feature FROM c GROUP BY feature HAVING count(value) > 1 AND max(value) > min(value)",
     "mth_04": f"{HIST} SELECT id, CAST(feature AS INTEGER) AS feature, round(part, 6) AS part FROM pt",
     "mth_05": f"{HIST} SELECT id, score FROM sc",
