@@ -119,7 +119,8 @@ def message_bodies(payloads: DataFrame) -> DataFrame:
     return rows.select(*payloads.columns, (client & (F.col("state") != turned)).alias("body"))
 
 
-#: What a TLS handshake message is called, by its type.
+#: What a TLS handshake message is called, by its type. The texts that frame_summaries() gives are fixed too, as
+#: others show them.
 HANDSHAKES = {1: "ClientHello", 2: "ServerHello", 11: "Certificate"}
 
 
