@@ -11,7 +11,7 @@ from test_captures import CLIENT, SERVER, ethernet, extension, hello, pcap, reco
 
 from wirepost.functions import conditions, der, registry, tls
 from wirepost.functions.tracking import Budget
-from wirepost.operators import analysis, certificates, findings, forest
+from wirepost.operators import analysis, certificates, findings, forest, windows
 from wirepost.sources import captures
 
 
@@ -156,8 +156,8 @@ def test_from_captures_to_reports(spark):
     hidden = conversation(("10.0.0.4", 993), up(record(HELLO)), down(record(new)))
     web = conversation(("10.0.0.5", 80), up(b"GET / HTTP/1.1\r\n"), down(b"HTTP/1.1 200 OK\r\n"))
     mailbox = conversation(("10.0.0.6", 110), down(b"+OK hi\r\n"), up(b"STLS\r\n"), down(b"-ERR no\r\n"), up(b"USER a\r\n"), down(b"+OK\r\n"))
-    captures = spark.createDataFrame([("one", pcap(upgraded + clear + hidden + web + mailbox)), ("two", pcap(clear)), ("none", b"junk")], "capture string, content binary")
-    found = analysis.analyse(captures)
+    captures_ = spark.createDataFrame([("one", pcap(upgraded + clear + hidden + web + mailbox)), ("two", pcap(clear)), ("none", b"junk")], "capture string, content binary")
+    found = analysis.analyse(captures_)
     rows = {(r.capture, r.flow.split("|")[1 if "10.0.0.9" not in r.flow.split("|")[1] else 2]): r for r in found.sessions.collect()}
     one = {k[1]: r for k, r in rows.items() if k[0] == "one"}
     assert set(one) == {"10.0.0.2:25", "10.0.0.3:25", "10.0.0.4:993", "10.0.0.6:110"}
@@ -182,6 +182,9 @@ def test_from_captures_to_reports(spark):
     assert reports["two"]["summary"]["sessions_total"] == 1 and reports["none"]["summary"]["sessions_total"] == 0 and set(reports) == {"one", "two", "none"}
     assert not reports["none"]["summary"]["findings_assessed"]
     assert {r.capture: r.analysis_status for r in found.health.collect()} == {"one": "complete", "two": "complete", "none": "unreadable"}
+    shown = windows.evidence_windows(found.findings.where("capture = 'one'"), captures.segments(captures.frames(captures_))).collect()
+    assert {r.ascii for r in shown if r.rule == "CLEARTEXT-AUTH"} == {"AUTH PLAIN [REDACTED]"} and not any("abc" in r.ascii for r in shown)
+    assert {(r.ascii, r.withheld) for r in shown if r.rule == "STARTTLS-NOT-OFFERED"} == {("250", 5)} and {r.hex for r in shown if r.rule == "PQ-HYBRID-OBSERVED"} == {""}
     inventories = {r.capture: json.loads(r.document) for r in found.inventories.collect()}
     assert set(inventories) == {"one"}
     parts = {c["bom-ref"]: c for c in inventories["one"]["components"]}

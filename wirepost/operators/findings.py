@@ -64,16 +64,17 @@ def establishing(evidence: DataFrame, by: str) -> DataFrame:
     return evidence.groupBy(by).agg(F.array_sort(F.collect_set(place)).alias("evidence"))
 
 
-def associated(sessions: DataFrame) -> DataFrame:
+def associated(sessions: DataFrame, newest_only: bool = True) -> DataFrame:
     """(session, server, fingerprints, ambiguous): certificates that other sessions of the same server showed to those that hide theirs.
 
     sessions: (session, server, version, status, fingerprint). Only TLS 1.3 sessions whose certificate can't be observed get
-    any; it is context, and more than one makes it ambiguous. A server's certificates are few: they are gathered before any
+    any (with `newest_only` off, all whose certificate can't be observed); it is context, and more than one makes it ambiguous. A server's certificates are few: they are gathered before any
     session meets them.
     """
     shown = sessions.where((F.col("status") != "NOT_OBSERVABLE") & F.col("fingerprint").isNotNull())
     known = shown.groupBy("server").agg(F.sort_array(F.collect_set("fingerprint")).alias("fingerprints"))
-    hidden = sessions.where((F.col("version") == "TLS1.3") & (F.col("status") == "NOT_OBSERVABLE")).select("session", "server")
+    aimed = (F.col("version") == "TLS1.3") if newest_only else F.lit(True)
+    hidden = sessions.where(aimed & (F.col("status") == "NOT_OBSERVABLE")).select("session", "server")
     return hidden.join(known, "server").select("session", "server", "fingerprints", (F.size("fingerprints") > 1).alias("ambiguous"))
 
 

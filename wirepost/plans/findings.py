@@ -180,10 +180,10 @@ def set_08(s, d):
     return by.select("server", F.sort_array(F.array_union("a", "b")).alias("sessions"))
 
 
-def jon_16(s, d):
+def jon_16(s, d, newest_only=True):
     k = F.col("session")
     status = pick(k, 5, "NOT_OBSERVABLE", "VALID")
-    return findings.associated(bridge.sessions(s, d).select("session", "server", "version", status.alias("status"), F.when(k % 4 > 0, F.concat(F.lit("f"), (k % 3).cast("string"))).alias("fingerprint")))
+    return findings.associated(bridge.sessions(s, d).select("session", "server", "version", status.alias("status"), F.when(k % 4 > 0, F.concat(F.lit("f"), (k % 3).cast("string"))).alias("fingerprint")), newest_only)
 
 
 def dom_09(s, d):
@@ -394,6 +394,7 @@ QUERIES = {
     "srt_04": srt_04,
     "set_08": set_08,
     "jon_16": jon_16,
+    "jon_17": lambda s, d: jon_16(s, d, newest_only=False),
     "dom_09": dom_09,
     "agg_17": lambda s, d: reports.inventory(used(s, d), "server"),
     "snk_05": snk_05,
@@ -495,3 +496,4 @@ ORACLES = {
     "bin_07": """SELECT o_orderkey AS k, CAST(o_orderkey % 7 + 49195 AS INTEGER) AS cipher, CAST(CASE WHEN o_orderkey % 2 = 0 AND o_orderkey % 13 > 0 THEN 772 ELSE 771 END AS INTEGER) AS version, CASE WHEN o_orderkey % 2 = 1 THEN 'settled_on_1.2' END AS sentinel,
         CASE WHEN o_orderkey % 26 = 0 THEN 'malformed' ELSE 'complete' END AS status FROM orders""",
 }
+ORACLES["jon_17"] = ORACLES["jon_16"].replace("version = 'TLS1.3' AND ", "")

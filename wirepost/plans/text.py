@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import mail
-from ..operators import lines
+from ..operators import lines, windows
 from .bridge import table
 
 #: Lines that orders stand for, by the remainder of their key.
@@ -25,6 +25,33 @@ def sampled(s, d):
     return table(s, d, "orders").select(k.alias("k"), line.alias("line"), kind.alias("kind"))
 
 
+#: Fields that cited lines stand for, by the remainder of their key.
+FIELDS = ("protocol.line", "tls.record", "tls.server_hello.key_share.group", "smtp.capability", "smtp.banner.hostname", "smtp.body", "protocol.line", "tls.server_hello.version", "cleartext-auth")
+
+
+def prj_10(s, d):
+    """What of a cited line may be shown: spans of a payload of two lines, some from its middle, some beyond its end."""
+    k = F.col("k")
+    rows = sampled(s, d).withColumn("field", F.element_at(F.array(*map(F.lit, FIELDS)), (k % len(FIELDS) + 1).cast("int")))
+    rule = F.when(k % 11 == 0, "CLEARTEXT-AUTH").otherwise("OTHER")
+    word = F.regexp_replace("line", r"[\r\n]", "")
+    rows = rows.withColumns({"payload": F.concat(F.lit("QUIT\r\n"), "line"), "start": F.when(k % 13 == 0, 7).when(k % 17 == 0, 900).otherwise(6), "length": F.when(k % 5 == 0, F.length("line") + 1).otherwise(F.length(word))})
+    shown = windows.window(rule, F.col("field"), F.col("payload"), F.col("start"), F.col("length"))
+    return rows.select("k", shown.alias("w")).select("k", "w.*")
+
+
+PRJ_10 = f"""{O},
+    f AS (SELECT k, list_value({', '.join(f"'{x}'" for x in FIELDS)})[k % {len(FIELDS)} + 1] AS field, k % 11 = 0 AS login, 'QUIT' || chr(13) || chr(10) || line AS payload,
+                 CASE WHEN k % 13 = 0 THEN 7 WHEN k % 17 = 0 THEN 900 ELSE 6 END AS start, CASE WHEN k % 5 = 0 THEN length(line) + 1 ELSE length(replace(replace(line, chr(13), ''), chr(10), '')) END AS n FROM o),
+    g AS (SELECT *, substr(payload, start + 1, n) AS span FROM f),
+    h AS (SELECT *, regexp_extract(span, '(?i)^([2-5]\\d\\d)([ \\t\\r\\n-]|$)', 1) || regexp_extract(span, '(?i)^(\\+OK|-ERR|EHLO|HELO|LHLO|STARTTLS|STLS|CAPA|QUIT|NOOP|RSET|DATA)([ \\t\\r\\n]|$)', 1) AS head FROM g),
+    w AS (SELECT *, CASE WHEN login OR field = 'cleartext-auth' THEN 'AUTH PLAIN [REDACTED]' WHEN contains(field, 'key_share') THEN 'TLS key-share [not displayed]' WHEN start > length(payload) OR length(span) <> n THEN '[evidence bytes not displayed]'
+            WHEN field LIKE 'tls.%' OR (field = 'smtp.capability' AND regexp_full_match(span, '[A-Z][A-Z0-9-]{{0,31}}')) OR (field = 'smtp.banner.hostname' AND regexp_full_match(span, '[A-Za-z0-9]([A-Za-z0-9.-]{{0,252}}[A-Za-z0-9])?')) THEN NULL
+            WHEN field = 'protocol.line' AND start = 6 AND head <> '' THEN NULL ELSE '[protocol text not displayed]' END AS why FROM h),
+    x AS (SELECT *, CASE WHEN why IS NOT NULL THEN '' WHEN field = 'protocol.line' THEN head ELSE span END AS shown FROM w)
+    SELECT k, regexp_replace(lower(hex(encode(shown))), '(..)', '\\1 ', 'g')[:greatest(3 * length(shown) - 1, 0)] AS hex, coalesce(why, regexp_replace(shown, '[^ -~]', '.', 'g')) AS ascii, n - length(shown) AS withheld FROM x"""
+
+
 def doc_lines(s, d):
     """Lines of documents up to the first '!!': a stand-in for the record that ends cleartext."""
     return lines.complete_lines(table(s, d, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text")), "doc_id", "text", "!!")
@@ -89,7 +116,7 @@ QUERIES = {
     "prj_01": lambda s, d: hosts(s, d).select("page_id", F.when(F.struct("ip", "port") < F.struct(F.lit("10.0.0.2"), F.lit(25)), F.col("ip")).otherwise("10.0.0.2").alias("server")),
     "prj_04": lambda s, d: hosts(s, d).select("page_id", mail.endpoint(F.when(F.col("page_id") % 2 == 0, F.concat(F.lit("fe80::"), F.col("page_id").cast("string"))).otherwise(F.col("ip")), F.col("port")).alias("endpoint")),
     "prj_05": lambda s, d: identities(s, d).select("page_id", mail.server_id(F.col("host"), mail.endpoint(F.col("ip"), F.col("port"))).alias("server")),
-    "prj_10": lambda s, d: table(s, d, "documents").select("doc_id", F.when(F.col("lang").isin("en", "de"), F.substring("text", 11, 24)).alias("window")),
+    "prj_10": prj_10,
     "prj_11": lambda s, d: table(s, d, "documents").select("doc_id", F.md5(mail.printable(F.col("text"))).alias("printable")),
     "prj_15": lambda s, d: hosts(s, d).select("page_id", F.array_join(F.array_sort(F.array(mail.endpoint(F.col("ip"), F.col("port")), F.lit("10.0.0.20:993"))), "|").alias("flow")),
     "srt_02": lambda s, d: identities(s, d).select("ip", "port", "host").distinct().orderBy("ip", "port", F.coalesce("host", F.lit(""))),
@@ -119,7 +146,7 @@ ORACLES = {
     "prj_01": f"{H} SELECT page_id, CASE WHEN ip < '10.0.0.2' THEN ip ELSE '10.0.0.2' END AS server FROM h",
     "prj_04": f"{H} SELECT page_id, CASE WHEN page_id % 2 = 0 THEN '[fe80::' || page_id || ']' ELSE ip END || ':25' AS endpoint FROM h",
     "prj_05": f"{H} SELECT page_id, coalesce(host || '@', '') || ip || ':25' AS server FROM i",
-    "prj_10": "SELECT doc_id, CASE WHEN lang IN ('en', 'de') THEN substr(text, 11, 24) END AS \"window\" FROM documents",
+    "prj_10": PRJ_10,
     "prj_11": "SELECT doc_id, md5(regexp_replace(text, '[^\\x20-\\x7e]', '.', 'g')) AS printable FROM documents",
     "prj_15": f"{H} SELECT page_id, least(ip || ':25', '10.0.0.20:993') || '|' || greatest(ip || ':25', '10.0.0.20:993') AS flow FROM h",
     "srt_02": f"{H} SELECT DISTINCT ip, port, host FROM i",
