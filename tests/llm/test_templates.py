@@ -121,6 +121,14 @@ def test_classes_as_vectors_written_out(spark, made):
     assert valid == want and len(valid) >= 3
 
 
+def test_names_that_say_what_is_no_article():
+    page = "<article><h1>t</h1><p>a</p>{}<p>b</p></article>"
+    for odd in ("<div class=adsbygoogle>x</div>", "<ol class=commentlist><li>x</ol>", "<div role=alert>x</div>", "<section id=userComments><p>x</section>", "<p class='cookie-bar'>x</p>", "<span class=ad>x</span>", "<nav>x</nav>", "<aside>x</aside>"):
+        assert [b.text for b in markup.parsed(page.format(odd)).blocks if not b.apart] == ["t", "a", "b"], odd
+    for good in ("<div class=adventure>x</div>", "<div class='no-comments'>x</div>", "<figure><figcaption>x</figcaption></figure>", "<header>x</header>", "<details><summary>x</summary></details>"):
+        assert [b.text for b in markup.parsed(page.format(good)).blocks if not b.apart] == ["t", "a", "x", "b"], good
+
+
 def test_wrapper_with_a_bad_name_keeps_its_article():
     page = markup.parsed("<div class='page with-sidebar'><div class=banner>x<article><p>text</p></article></div></div>")
     assert [(b.text, b.apart) for b in page.blocks] == [("x", 1), ("text", 0)]

@@ -28,10 +28,11 @@ HINTS = frozenset(
     """ad ads adv advert adverts advertisement advertising banner sponsor sponsored promo promotion cookie cookies consent gdpr notice
     popup modal overlay newsletter subscribe signup login sidebar sidebars widget widgets related recommended recommendations share sharing social
     menu menus nav navbar navigation breadcrumb breadcrumbs pagination pager footer masthead toolbar topbar comment comments disqus reply
-    replies respond complementary contentinfo search alertdialog""".split()
+    replies respond complementary contentinfo search alertdialog alert dialog menubar commentlist commentform adsbygoogle cookiebar cookiebanner
+    topnav subnav sitenav""".split()
 )
 #: Those of them that count on article and main too.
-REMARKS = frozenset("comment comments reply replies ad ads advert advertisement sponsored".split())
+REMARKS = frozenset("comment comments commentlist reply replies ad ads advert advertisement adsbygoogle sponsored".split())
 #: Elements that an opening tag ends if they are open, up to the nearest container.
 ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}}
 HEADINGS = frozenset(("h1", "h2"))
