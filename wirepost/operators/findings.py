@@ -53,9 +53,9 @@ def fact_rows(sessions: DataFrame, by: str, applicable: dict[str, Column]) -> Da
 
 
 def by_effort(findings: DataFrame, by: str, effort: str, place: str) -> DataFrame:
-    """(by, places): findings of a group from least work to most; equal ones, and then unknown ones, in their own order."""
+    """(by, places): the places of a group's findings, each once, from least work to most; equal ones, and then unknown ones, in their own order."""
     order = F.struct(facts.rank(F.col(effort), EFFORTS).alias("r"), F.col(place).alias("p"))
-    return findings.groupBy(by).agg(F.transform(F.array_sort(F.collect_list(order)), lambda x: x["p"]).alias("places"))
+    return findings.groupBy(by).agg(F.transform(F.array_sort(F.collect_set(order)), lambda x: x["p"]).alias("places"))
 
 
 def establishing(evidence: DataFrame, by: str) -> DataFrame:

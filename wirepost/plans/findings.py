@@ -171,8 +171,7 @@ def srt_03(s, d):
 
 def srt_04(s, d):
     effort = pick(F.col("line"), 10**9, "software_upgrade", "one_line_reload", "cert_reissue", "unheard_of")
-    once = bridge.findings(s, d).groupBy("session", "line").agg(F.count("*").alias("n")).withColumn("effort", effort)
-    return findings.by_effort(once, "session", "effort", "line")
+    return findings.by_effort(bridge.findings(s, d).withColumn("effort", effort), "session", "effort", "line")
 
 
 def set_08(s, d):
