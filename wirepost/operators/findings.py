@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import facts, mail
 from ..functions.conditions import condition
+from ..tables import stage
 
 #: Why a fact can't be observed.
 REASONS = ("tls13_encrypted_certificate", "midstream_capture", "ech_enabled", "not_present_in_capture", "unsupported_link_type", "malformed_certificate", "unsupported_algorithm")
@@ -83,9 +84,14 @@ def inconsistent_sessions(contradictions: DataFrame, cells: DataFrame) -> DataFr
 
     contradictions: (server, capability); cells: (server, capability, session, sign), 1 for shown and -1 for excluded.
     """
-    sides = cells.where("sign <> 0").join(contradictions, ["server", "capability"])
-    counts = sides.groupBy("server", "capability").agg(F.count_distinct(F.when(F.col("sign") > 0, F.col("session"))).alias("shown"), F.count_distinct(F.when(F.col("sign") < 0, F.col("session"))).alias("excluded"))
-    return sides.select("server", "capability", "session").distinct().join(counts, ["server", "capability"]).select("server", "session", "capability", "shown", "excluded")
+    torn = contradictions.select(F.col("server").alias("server_"), F.col("capability").alias("capability_"))
+    met = cells.where("sign <> 0").join(torn, (F.col("server") == F.col("server_")) & (F.col("capability") == F.col("capability_")))
+    # written once, as it is read twice and all observations stand behind it; a row for each session
+    up, down = F.max((F.col("sign") > 0).cast("int")), F.max((F.col("sign") < 0).cast("int"))
+    sides = stage(met.groupBy("server", "capability", "session").agg(up.alias("up"), down.alias("down")), "sides")
+    counts = sides.groupBy(F.col("server").alias("server_"), F.col("capability").alias("capability_")).agg(F.sum("up").alias("shown"), F.sum("down").alias("excluded"))
+    both = sides.join(counts, (F.col("server") == F.col("server_")) & (F.col("capability") == F.col("capability_")))
+    return both.select("server", "session", "capability", "shown", "excluded")
 
 
 def pop3_grammar_lines(lines: DataFrame) -> DataFrame:
