@@ -51,7 +51,7 @@ def as_captures(s, d, kind="pcap"):
 
 
 def read_back(s, d, kind="pcap"):
-    return captures.segments(captures.frames(as_captures(s, d, kind)))
+    return captures.read(as_captures(s, d, kind))
 
 
 def src_02(s, d, kind="pcap"):
